@@ -1,7 +1,7 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from . import line_dedup, mixing, substring_dedup
+from . import jaccard_join, line_dedup, mixing, substring_dedup
 
-MODULES = (line_dedup, mixing, substring_dedup)
+MODULES = (jaccard_join, line_dedup, mixing, substring_dedup)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: q for m in MODULES for name, q in getattr(m, "SQL", {}).items()}
