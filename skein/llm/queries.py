@@ -1,7 +1,7 @@
 """The queries of this subpackage and, where SQL can express them, their DuckDB SQL."""
 
-from . import fingerprints, jaccard_join, line_dedup, mixing, substring_dedup
+from . import fingerprints, jaccard_join, line_dedup, mixing, substring_dedup, toxicity
 
-MODULES = (jaccard_join, substring_dedup, line_dedup, mixing, fingerprints)
+MODULES = (jaccard_join, substring_dedup, line_dedup, mixing, toxicity, fingerprints)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: q for m in MODULES for name, q in getattr(m, "SQL", {}).items()}
