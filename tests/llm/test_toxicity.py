@@ -23,7 +23,7 @@ def test_gradient_recovers_order():
     for _ in range(900):
         y = int(rng.integers(3))
         f = rng.integers(100, 400, 20)
-        rows.append((y, np.concatenate([f, [7] * y, [9] * (rng.random() < 0.5)])))
+        rows.append((y, np.array([*f, *[7] * y, *[9] * (rng.random() < 0.5)], np.int64)))
     model = tx.fit_rows(rows, np.ones(3))
     assert model.weights[7] > 1 and np.all(np.diff(model.cuts) > 0)
     score = np.array([model.weights[f].sum() for _, f in rows])
