@@ -35,7 +35,7 @@ HEAVY = 1 << 17
 HEAVY_LOCAL, FLUSH = 4, 4_000_000
 #: Bits of the filter that spares documents without candidates the way to verification; a full filter spares none.
 BLOOM_BITS = 1 << 25
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 MULT = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
@@ -256,6 +256,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     and 128-bit hashes.
     """
     spark = docs.sparkSession
+    util.bounded_batches(spark)
     rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(util.NULL_ID)).alias("id"), docs[text_col].alias("text"))
     scanned = util.written(signatures(rows, n), "signatures")
     sig = scanned.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("s"), F.col("c").alias("s2"), "n")

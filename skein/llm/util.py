@@ -67,6 +67,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Lets no Arrow batch of the session hold more than `size` bytes, unless one row does."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).rstrip("b")) > size:
+        spark.conf.set(key, str(size))
+
+
 def texts_of(column) -> list:
     """Arrow string column to a list of bytes or None."""
     import pyarrow as pa
