@@ -32,9 +32,10 @@ def simhashes(texts: list) -> list:
     n = TERM_WORDS
     docs = [t.lower().split() if t else [] for t in texts]
     h = util.hash_words([w for d in docs for w in d])
-    terms = np.zeros(max(0, len(h) - n + 1), U64)
+    m = max(0, len(h) - n + 1)
+    terms = np.zeros(m, U64)
     for k in range(n):
-        terms += h[k : len(h) - n + 1 + k] * MULT[k]
+        terms += h[k : k + m] * MULT[k]
     terms = util.mix(terms)
     out, at = [], 0
     for d in docs:

@@ -1,9 +1,13 @@
 """N-gram Jaccard join by grouped prefixes, and the classes its links form.
 
-Documents are sets of word shingles. In one order of all shingles (the most
-frequent last, then by hash), two sets of Jaccard similarity t or more share a
-shingle within their prefixes of n - ceil(t n) + 1. Sets with the same size and
-prefix form one group; groups meet by prefix shingles, pairs of groups are
+Documents are sets of word shingles. In one order of all shingles (by how many
+sets hold them, the rarest first, then by hash), two sets of Jaccard similarity
+t or more share a shingle within their prefixes of n - ceil(t n) + 1. The counts
+come from all documents: chunks of documents send their distinct shingles in
+byte strings by hash range and get a count class of one byte for each back.
+Shingles that one set alone holds fill prefixes but meet nothing, so a document
+that shares only a passage with others has no candidates. Sets with the same
+size and prefix form one group; groups meet by prefix shingles, pairs of groups are
 filtered by size and by the places of the shared shingle, and then expand to
 their members, which are verified on whole shingle sets.
 
@@ -20,22 +24,21 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import util
+from .substring_dedup import chunks, ranges, unpacked
 
 U64 = np.uint64
 NGRAM = 5
+#: Shingles of a hash range, about.
+RANGE_SHINGLES = 1_000_000
 #: Similarity as a fraction of whole numbers.
 NUM, DEN = 3, 4
-#: The most frequent shingles that are ordered by their estimated count; the others count as rare. For speed only: any order gives the same links.
-HEAVY = 1 << 17
-#: A shingle is a candidate for that list if so many distinct sets of one flush hold it.
-HEAVY_LOCAL, FLUSH = 4, 4_000_000
 #: Bits of the filter that spares documents without candidates the way to verification; a full filter spares none.
 BLOOM_BITS = 1 << 25
-BATCH_BYTES = 4 << 20
 MULT = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
@@ -45,9 +48,10 @@ def shingle_sets(texts: list, n: int = NGRAM) -> list:
     words is one shingle, one without words an empty set."""
     docs = [t.lower().split() if t else [] for t in texts]
     h = util.hash_words([w for d in docs for w in d])
-    whole = np.zeros(max(0, len(h) - n + 1), U64)
+    m = max(0, len(h) - n + 1)
+    whole = np.zeros(m, U64)
     for k in range(n):
-        whole += h[k : len(h) - n + 1 + k] * MULT[k % len(MULT)] * U64(2 * (k // len(MULT)) + 1)
+        whole += h[k : k + m] * MULT[k % len(MULT)] * U64(2 * (k // len(MULT)) + 1)
     whole = util.mix(whole)
     out, at = [], 0
     for d in docs:
@@ -64,20 +68,6 @@ def shingle_sets(texts: list, n: int = NGRAM) -> list:
     return out
 
 
-def _slices(batches, size: int = BATCH_BYTES):
-    """(ids, texts) of at most about `size` bytes of text."""
-    for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), util.texts_of(batch.column(1))
-        a = held = 0
-        for b, t in enumerate(texts):
-            held += len(t or b"")
-            if held >= size:
-                yield ids[a : b + 1], texts[a : b + 1]
-                a, held = b + 1, 0
-        if a < len(texts):
-            yield ids[a:], texts[a:]
-
-
 def _digest(u: np.ndarray) -> tuple[int, int]:
     two = np.frombuffer(hashlib.blake2b(u.tobytes(), digest_size=16).digest(), np.int64)
     return int(two[0]), int(two[1])
@@ -87,65 +77,96 @@ def _batch(names: str, *columns) -> pa.RecordBatch:
     return pa.record_batch([c if isinstance(c, pa.Array) else pa.array(np.asarray(c, np.int64)) for c in columns], names=names.split())
 
 
-def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """kind 0: (id, two halves of the set's digest, set size) of each row;
-    kind 1: (shingle, -, -, count) where a flush of distinct sets repeats it."""
-
-    def scan(batches):
-        seen, held, size = set(), [], 0
-
-        def flush():
-            u, c = np.unique(np.concatenate(held), return_counts=True)
-            u, c = u[c >= HEAVY_LOCAL], c[c >= HEAVY_LOCAL]
-            zero = np.zeros(len(u))
-            return _batch("kind a b c n", zero + 1, u.view(np.int64), zero, zero, c)
-
-        for ids, texts in _slices(batches):
-            sets = shingle_sets(texts, n)
-            keys = [_digest(u) for u in sets]
-            yield _batch("kind a b c n", [0] * len(ids), ids, [k[0] for k in keys], [k[1] for k in keys], [len(u) for u in sets])
-            for k, u in zip(keys, sets):
-                if k not in seen and len(u):
-                    seen.add(k)
-                    held.append(u)
-                    size += len(u)
-            if size >= FLUSH:
-                yield flush()
-                held, size = [], 0
-        if held:
-            yield flush()
-
-    return docs.mapInArrow(scan, "kind long, a long, b long, c long, n long")
-
-
-def prefix_rows(docs: DataFrame, n: int, num: int, den: int, heavy) -> DataFrame:
-    """(token, grp, sp): token rows have sp = size << 32 | place in the order;
-    member rows have sp = -1, token the group and grp the set."""
-
-    def scan(batches):
-        tokens, weights = heavy.value
-        seen = set()
-        for _, texts in _slices(batches):
-            t_, g_, s_ = [], [], []
-            for u in shingle_sets(texts, n):
-                if not len(u) or (key := _digest(u)) in seen:
-                    continue
-                seen.add(key)
-                take = len(u) - -(-num * len(u) // den) + 1
-                first = u[:take]
-                if len(tokens):
-                    at = np.minimum(np.searchsorted(tokens, u), len(tokens) - 1)
-                    w = np.where(tokens[at] == u, weights[at], 0)
-                    if w.any():
-                        first = u[np.lexsort((u, w))[:take]]
-                group = _digest(np.append(first, U64(len(u))))[0]
-                t_ += [first.view(np.int64), [group]]
-                g_ += [np.full(take, group), [key[0]]]
-                s_ += [(len(u) << 32) | np.arange(take), [-1]]
-            if t_:
-                yield _batch("token grp sp", np.concatenate(t_), np.concatenate(g_), np.concatenate(s_))
-
-    return docs.mapInArrow(scan, "token long, grp long, sp long")
+class Chunk:
+    """The shingle sets of a chunk's documents, and its distinct shingles with
+    how many distinct sets of the chunk hold each."""
+
+    def __init__(self, blob: bytes, n: int):
+        ids, texts = unpacked(blob)
+        self.ids, self.sets = ids.to_pylist(), shingle_sets(texts, n)
+        self.keys = [_digest(u) for u in self.sets]
+        self.distinct = {k: u for k, u in zip(self.keys, self.sets) if len(u)}
+        every = np.concatenate([*self.distinct.values(), np.empty(0, U64)])
+        self.tokens, self.counts = np.unique(every, return_counts=True)
+
+
+def _sent(c: Chunk, bits: int, cid: int) -> pa.RecordBatch:
+    """By range: the next 32 bits of each shingle, and its count up to 255."""
+    cut = ranges(c.tokens, bits)
+    some = np.flatnonzero(np.diff(cut))
+    short = (c.tokens >> U64(32 - bits)).astype(np.uint32)
+    counts = np.minimum(c.counts, 255).astype(np.uint8)
+    pack = zstandard.ZstdCompressor(level=1).compress
+    return pa.record_batch(
+        [pa.array(some, pa.int64()), pa.array([cid] * len(some), pa.int64()), pa.array([short[cut[r] : cut[r + 1]].tobytes() for r in some], pa.binary()), pa.array([pack(counts[cut[r] : cut[r + 1]].tobytes()) for r in some], pa.binary())],
+        names=["r", "cid", "shingles", "counts"],
+    )
+
+
+def _classed(group: pa.Table) -> pa.Table:
+    """For each chunk, the count classes of its shingles in one range: 0 for
+    those that one set holds, else 8 log2 of the count."""
+    blobs = group.column("shingles").to_pylist()
+    unpack, pack = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
+    every = np.frombuffer(b"".join(blobs), np.uint32)
+    counts = np.frombuffer(b"".join(map(unpack, group.column("counts").to_pylist())), np.uint8)
+    order = np.argsort(every, kind="stable")
+    new = np.append(True, every[order][1:] != every[order][:-1])
+    total = np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(new))
+    classes = np.minimum(8 * np.log2(total), 255).astype(np.uint8)
+    out = np.empty(len(every), np.uint8)
+    out[order] = classes[np.cumsum(new) - 1]
+    cut = np.cumsum([0] + [len(b) // 4 for b in blobs])
+    return pa.table({"cid": group.column("cid"), "r": group.column("r"), "classes": pa.array([pack(out[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:])], pa.binary())})
+
+
+def _rows(c: Chunk, classes: np.ndarray, num: int, den: int):
+    """kind 0: (id, two halves of the set's digest, set size) of each document.
+    For sets with a shingle of another set in their prefix also kind 1: (shingle,
+    group, size << 32 | place in the order) for each such shingle, and kind 2:
+    (group, set)."""
+    n = len(c.ids)
+    kind, a, b, d, size = [np.zeros(n)], [np.array(c.ids, np.int64)], [np.array([k[0] for k in c.keys], np.int64)], [np.array([k[1] for k in c.keys], np.int64)], [np.array([len(u) for u in c.sets])]
+    for key, u in c.distinct.items():
+        code = classes[np.searchsorted(c.tokens, u)]
+        take = len(u) - -(-num * len(u) // den) + 1
+        first = np.lexsort((u, code))[:take]
+        shared = np.flatnonzero(code[first] > 0)
+        if not len(shared):
+            continue
+        group = _digest(np.append(u[first], U64(len(u))))[0]
+        m = len(shared)
+        kind += [np.full(m, 1), [2]]
+        a += [u[first[shared]].view(np.int64), [group]]
+        b += [np.full(m, group), [key[0]]]
+        d += [(len(u) << 32) | shared, [0]]
+        size += [np.zeros(m), [0]]
+    return _batch("kind a b c n", *(np.concatenate([np.asarray(x, np.int64) for x in xs]) for xs in (kind, a, b, d, size)))
+
+
+def scan(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """The rows of _rows for all documents (id, text)."""
+    packed = util.written(chunks(rows, "id", "text"), "chunks")
+    # chunks count a word for four bytes of text; about as many shingles
+    total = packed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = min(31, max(3, int(np.ceil(np.log2(max(1, total / RANGE_SHINGLES))))))
+    blobs = packed.select("cid", "blob")
+
+    def send(batches):
+        for batch in batches:
+            for cid, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                yield _sent(Chunk(blob, n), bits, cid)
+
+    sent = blobs.mapInArrow(send, "r long, cid long, shingles binary, counts binary")
+    answers = sent.groupBy("r").applyInArrow(_classed, "cid long, r long, classes binary")
+
+    def finish(chunk: pa.Table, got: pa.Table) -> pa.Table:
+        unpack = zstandard.ZstdDecompressor().decompress
+        by_range = {r: z for r, z in zip(got.column("r").to_pylist(), got.column("classes").to_pylist())}
+        classes = np.frombuffer(b"".join(unpack(by_range[r]) for r in sorted(by_range)), np.uint8)
+        return pa.Table.from_batches([_rows(Chunk(blob, n), classes, num, den) for blob in chunk.column("blob").to_pylist()])
+
+    return blobs.groupBy("cid").cogroup(answers.groupBy("cid")).applyInArrow(finish, "kind long, a long, b long, c long, n long")
 
 
 def _fits(a: str, b: str, num: int, den: int) -> str:
@@ -187,8 +208,6 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
     held = pairs.join(texts.select(F.col("node").alias("a"), F.col("z").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("z").alias("tb")), "b")
 
     def check(batches):
-        import zstandard
-
         unpack = zstandard.ZstdDecompressor().decompress
         last, last_set = None, None
         for batch in batches:
@@ -229,8 +248,6 @@ def candidate_texts(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     held = spark.sparkContext.broadcast(table.view(U64))
 
     def pack(batches):
-        import zstandard
-
         z = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             ids = np.asarray(batch.column(0), np.int64)
@@ -258,31 +275,25 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     util.bounded_batches(spark)
     rows = docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(util.NULL_ID)).alias("id"), docs[text_col].alias("text"))
-    scanned = util.written(signatures(rows, n), "signatures")
+    scanned = util.written(scan(rows, n, num, den), "scan")
     sig = scanned.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("s"), F.col("c").alias("s2"), "n")
-    counts = scanned.where("kind = 1").groupBy(F.col("a").alias("token")).agg(F.sum("n").alias("n"))
-    top = util.written(counts.orderBy(F.desc("n"), "token").limit(HEAVY), "heavy").toArrow()
-    tokens, weights = np.asarray(top.column(0), np.int64).view(U64), np.asarray(top.column(1), np.int64)
-    order = np.argsort(tokens)
-    heavy = spark.sparkContext.broadcast((tokens[order], weights[order]))
 
     # a set's node is the smallest id that has it
     reps = util.written(sig.where("n > 0").groupBy("s", "s2").agg(F.min("id").alias("node")), "sets")
-    index = prefix_rows(rows, n, num, den, heavy)
-    bucket = Window.partitionBy("token", F.col("sp") < 0)
+    bucket = Window.partitionBy("token")
     lead = F.struct(F.xxhash64("grp"), "grp", "sp")
+    index = scanned.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("grp"), F.col("c").alias("sp")).distinct()
     index = index.select("*", F.min("grp").over(bucket).alias("lo"), F.max("grp").over(bucket).alias("hi"), F.min(lead).over(bucket).alias("l1"), F.max(lead).over(bucket).alias("l2"))
     flat = ["token", "grp", "sp", F.col("l1.grp").alias("g1"), F.col("l1.sp").alias("sp1"), F.col("l2.grp").alias("g2"), F.col("l2.sp").alias("sp2")]
-    index = util.written(index.where("sp < 0 OR lo <> hi").select(*flat).distinct(), "index")
-    buckets = index.where("sp >= 0")
+    buckets = util.written(index.where("lo <> hi").select(*flat), "index")
     fits = lambda a, b: F.expr(_fits(a, b, num, den))
 
     # groups with a partner anywhere, and their members
     other = buckets.select(F.col("token").alias("t2"), F.col("grp").alias("og"), F.col("sp").alias("osp"))
     paired = buckets.join(other, (F.col("token") == F.col("t2")) & (F.col("grp") != F.col("og")) & fits("sp", "osp"), "left_semi")
     buckets = util.written(paired, "buckets")
-    members = index.where("sp < 0").select(F.col("token").alias("grp"), F.col("grp").alias("s"), F.col("g1").alias("ls")).distinct()
-    several = members.where("s <> ls").select("grp").distinct()
+    members = scanned.where("kind = 2").select(F.col("a").alias("grp"), F.col("b").alias("s")).distinct()
+    several = members.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select("grp")
     active = buckets.select("grp").distinct().union(several).distinct()
     members = members.join(active, "grp").join(reps.groupBy("s").agg(F.min("node").alias("node")), "s")
     members = util.written(members.withColumn("lead", F.min("node").over(Window.partitionBy("grp"))).select("grp", "node", "lead"), "members")

@@ -53,9 +53,7 @@ class Chunk:
     """The words of a chunk's documents with their anchors and windows."""
 
     def __init__(self, blob: bytes, window: int, period: int):
-        batch = pa.ipc.open_stream(pa.py_buffer(blob)).read_all()
-        self.ids = batch.column(0)
-        texts = batch.column(1).to_pylist()
+        self.ids, texts = unpacked(blob)
         self.docs = [t.split() if t else [] for t in texts]
         n = np.fromiter(map(len, self.docs), np.int64, len(self.docs))
         self.end = np.cumsum(n)
@@ -97,7 +95,7 @@ def _unique(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return u, inverse, count > 1
 
 
-def _ranges(u: np.ndarray, bits: int) -> np.ndarray:
+def ranges(u: np.ndarray, bits: int) -> np.ndarray:
     """Where in the sorted hashes each range begins, and the end."""
     if not bits:
         return np.array([0, len(u)])
@@ -106,7 +104,7 @@ def _ranges(u: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _send(u: np.ndarray, bits: int, cid: int) -> pa.RecordBatch:
-    cut = _ranges(u, bits)
+    cut = ranges(u, bits)
     some = np.flatnonzero(np.diff(cut))
     blobs = [u[cut[r] : cut[r + 1]].tobytes() for r in some]
     return pa.record_batch([pa.array(some, pa.int64()), pa.array([cid] * len(some), pa.int64()), pa.array(blobs, pa.binary())], names=["r", "cid", "hashes"])
@@ -114,7 +112,7 @@ def _send(u: np.ndarray, bits: int, cid: int) -> pa.RecordBatch:
 
 def _answers(u: np.ndarray, bits: int, got: dict) -> np.ndarray:
     """Of sorted hashes, which were found in another chunk too."""
-    cut, out = _ranges(u, bits), np.zeros(len(u), bool)
+    cut, out = ranges(u, bits), np.zeros(len(u), bool)
     for r, packed in got.items():
         n = cut[r + 1] - cut[r]
         out[cut[r] : cut[r + 1]] = np.unpackbits(np.frombuffer(packed, np.uint8), count=n).astype(bool)
@@ -184,6 +182,12 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, size: int = CHUNK_BYTES)
     return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(pack, "cid long, n long, blob binary")
 
 
+def unpacked(blob: bytes) -> tuple:
+    """(ids, texts in bytes) of a chunk."""
+    t = pa.ipc.open_stream(pa.py_buffer(blob)).read_all()
+    return t.column(0), t.column(1).to_pylist()
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, period: int = PERIOD) -> DataFrame:
     """(id, text, n_words, n_removed, removed) for every row: the words kept,
     joined by one space, and the spans [from, to) of words removed.
