@@ -1,4 +1,7 @@
 """All registered queries outside the training-data subpackage."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import arrays, corpus
+
+MODULES = (corpus, arrays)
+QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+SQL = {name: q for m in MODULES for name, q in m.SQL.items()}
