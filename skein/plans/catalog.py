@@ -1,7 +1,7 @@
 """All registered queries outside the training-data subpackage."""
 
-from . import arrays, corpus
+from . import arrays, corpus, star, streams
 
-MODULES = (corpus, arrays)
+MODULES = (corpus, arrays, streams, star)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: q for m in MODULES for name, q in m.SQL.items()}
