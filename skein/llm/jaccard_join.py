@@ -9,10 +9,13 @@ Shingles that one set alone holds fill prefixes but meet nothing, so a document
 that shares only a passage with others has no candidates. Sets with the same
 size and prefix form one group; groups meet by prefix shingles, pairs of groups are
 filtered by size and by the places of the shared shingle, and then expand to
-their members, which are verified on whole shingle sets.
+their members. Member pairs are filtered by bitmaps (each shingle flips one of
+BITS bits, so two sets differ in at least as many shingles as their bitmaps in
+bits) and verified on whole shingle sets.
 
 Classes need no pair twice: two star rounds link each group to the leaders of
-its buckets; after them only pairs of different classes are compared. So a
+its buckets, first those with the fewest shingles of their own, which edited
+copies have in common; after them only pairs of different classes are compared. So a
 bucket of thousands of near copies costs rows in proportion to its members, and
 still no link between classes is lost: every candidate pair is either within
 one class already or verified.
@@ -120,12 +123,30 @@ def _classed(group: pa.Table) -> pa.Table:
     return pa.table({"cid": group.column("cid"), "r": group.column("r"), "classes": pa.array([pack(out[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:])], pa.binary())})
 
 
+#: Words of a set's bitmap.
+WORDS = 16
+
+
+def bitmap(u: np.ndarray) -> list:
+    """Parities of the shingles that fall on each of 64 * WORDS bits."""
+    at = (util.mix(u) >> U64(64 - 10)).astype(np.int64)
+    odd = (np.bincount(at, minlength=64 * WORDS) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64).tolist()
+
+
+def _near_enough(a: str, b: str, num: int, den: int) -> str:
+    """SQL: whether bitmaps (arrays a, b) of sets of sizes a_n, b_n leave room for the overlap needed."""
+    differ = " + ".join(f"bit_count({a}w[{k}] ^ {b}w[{k}])" for k in range(WORDS))
+    return f"{num + den} * ({a}n + {b}n - ({differ})) >= {2 * num} * ({a}n + {b}n)"
+
+
 def _rows(c: Chunk, classes: np.ndarray, num: int, den: int):
     """kind 0: (id, two halves of the set's digest, set size) of each document.
     For sets with a shingle of another set in their prefix also kind 1: (shingle,
     group, size << 32 | place in the order) for each such shingle, and kind 2:
-    (group, set)."""
+    (group, set, -, set size) with the set's bitmap w."""
     n = len(c.ids)
+    bitmaps: list = [None] * n
     kind, a, b, d, size = [np.zeros(n)], [np.array(c.ids, np.int64)], [np.array([k[0] for k in c.keys], np.int64)], [np.array([k[1] for k in c.keys], np.int64)], [np.array([len(u) for u in c.sets])]
     for key, u in c.distinct.items():
         code = classes[np.searchsorted(c.tokens, u)]
@@ -140,8 +161,10 @@ def _rows(c: Chunk, classes: np.ndarray, num: int, den: int):
         a += [u[first[shared]].view(np.int64), [group]]
         b += [np.full(m, group), [key[0]]]
         d += [(len(u) << 32) | shared, [0]]
-        size += [np.zeros(m), [0]]
-    return _batch("kind a b c n", *(np.concatenate([np.asarray(x, np.int64) for x in xs]) for xs in (kind, a, b, d, size)))
+        size += [np.zeros(m), [len(u)]]
+        bitmaps += [None] * m + [bitmap(u)]
+    columns = [np.concatenate([np.asarray(x, np.int64) for x in xs]) for xs in (kind, a, b, d, size)]
+    return _batch("kind a b c n w", *columns, pa.array(bitmaps, pa.list_(pa.int64())))
 
 
 def scan(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -166,7 +189,7 @@ def scan(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
         classes = np.frombuffer(b"".join(unpack(by_range[r]) for r in sorted(by_range)), np.uint8)
         return pa.Table.from_batches([_rows(Chunk(blob, n), classes, num, den) for blob in chunk.column("blob").to_pylist()])
 
-    return blobs.groupBy("cid").cogroup(answers.groupBy("cid")).applyInArrow(finish, "kind long, a long, b long, c long, n long")
+    return blobs.groupBy("cid").cogroup(answers.groupBy("cid")).applyInArrow(finish, "kind long, a long, b long, c long, n long, w array<long>")
 
 
 def _fits(a: str, b: str, num: int, den: int) -> str:
@@ -282,8 +305,9 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     reps = util.written(sig.where("n > 0").groupBy("s", "s2").agg(F.min("id").alias("node")), "sets")
     bucket = Window.partitionBy("token")
     lead = F.struct(F.xxhash64("grp"), "grp", "sp")
+    central = F.struct(F.col("sp").bitwiseAND(F.lit(0xFFFFFFFF)), F.xxhash64("grp"), "grp", "sp")
     index = scanned.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("grp"), F.col("c").alias("sp")).distinct()
-    index = index.select("*", F.min("grp").over(bucket).alias("lo"), F.max("grp").over(bucket).alias("hi"), F.min(lead).over(bucket).alias("l1"), F.max(lead).over(bucket).alias("l2"))
+    index = index.select("*", F.min("grp").over(bucket).alias("lo"), F.max("grp").over(bucket).alias("hi"), F.min(central).over(bucket).alias("l1"), F.min(lead).over(bucket).alias("l2"))
     flat = ["token", "grp", "sp", F.col("l1.grp").alias("g1"), F.col("l1.sp").alias("sp1"), F.col("l2.grp").alias("g2"), F.col("l2.sp").alias("sp2")]
     buckets = util.written(index.where("lo <> hi").select(*flat), "index")
     fits = lambda a, b: F.expr(_fits(a, b, num, den))
@@ -292,11 +316,11 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     other = buckets.select(F.col("token").alias("t2"), F.col("grp").alias("og"), F.col("sp").alias("osp"))
     paired = buckets.join(other, (F.col("token") == F.col("t2")) & (F.col("grp") != F.col("og")) & fits("sp", "osp"), "left_semi")
     buckets = util.written(paired, "buckets")
-    members = scanned.where("kind = 2").select(F.col("a").alias("grp"), F.col("b").alias("s")).distinct()
+    members = scanned.where("kind = 2").select(F.col("a").alias("grp"), F.col("b").alias("s"), "n", "w").dropDuplicates(["grp", "s"])
     several = members.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select("grp")
     active = buckets.select("grp").distinct().union(several).distinct()
     members = members.join(active, "grp").join(reps.groupBy("s").agg(F.min("node").alias("node")), "s")
-    members = util.written(members.withColumn("lead", F.min("node").over(Window.partitionBy("grp"))).select("grp", "node", "lead"), "members")
+    members = util.written(members.withColumn("lead", F.min("node").over(Window.partitionBy("grp"))).select("grp", "node", "lead", "n", "w"), "members")
     nodes = members.select("node").distinct()
     texts = candidate_texts(rows, nodes, n)
     texts = texts.join(members.select("node").distinct(), "node", "left_semi")
@@ -305,22 +329,23 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     # star rounds: each group with the leaders of its buckets, each member with its group's leader
     stars = [buckets.where(F.col("grp") != F.col(g)).where(fits("sp", s)).select(F.least("grp", g).alias("x"), F.greatest("grp", g).alias("y")) for g, s in (("g1", "sp1"), ("g2", "sp2"))]
-    leads = members.select("grp", "lead").distinct()
-    pairs = stars[0].union(stars[1]).distinct()
-    pairs = pairs.join(leads.select(F.col("grp").alias("x"), F.col("lead").alias("a")), "x").join(leads.select(F.col("grp").alias("y"), F.col("lead").alias("b")), "y")
-    pairs = pairs.select("a", "b").union(members.where("node <> lead").select("node", "lead"))
+    side = lambda p, key, node: members.where("node = lead").select(F.col("grp").alias(key), F.col("node").alias(node), F.col("n").alias(f"{p}n"), F.col("w").alias(f"{p}w")).dropDuplicates([key])
+    close = F.expr(_near_enough("x", "y", num, den))
+    pairs = stars[0].union(stars[1]).distinct().join(side("x", "x", "a"), "x").join(side("y", "y", "b"), "y").where(close).select("a", "b")
+    within = members.where("node <> lead").select(F.col("node").alias("a"), F.col("grp").alias("y"), F.col("n").alias("xn"), F.col("w").alias("xw")).join(side("y", "y", "b"), "y")
+    pairs = pairs.union(within.where(close).select("a", "b"))
     pairs = util.written(pairs.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).where("a <> b").distinct(), "stars")
     links = util.written(verified(pairs, texts, n, num, den), "links")
     comp = components(links)
 
     # what is left: pairs of a bucket whose classes still differ
-    labelled = members.join(comp, "node", "left").select("grp", "node", F.coalesce("comp", "node").alias("comp"))
+    labelled = members.join(comp, "node", "left").select("grp", "node", F.coalesce("comp", "node").alias("comp"), "n", "w")
     placed = buckets.select("token", "grp", "sp").join(labelled, "grp")
     over = Window.partitionBy("token")
-    placed = placed.select("token", "node", "sp", "comp", F.min("comp").over(over).alias("lo"), F.max("comp").over(over).alias("hi")).where("lo <> hi")
-    placed = util.written(placed.select("token", "node", "sp", "comp"), "open")
-    right = placed.select(F.col("token").alias("t2"), F.col("node").alias("b"), F.col("sp").alias("osp"), F.col("comp").alias("oc"))
-    rest = placed.join(right, (F.col("token") == F.col("t2")) & (F.col("node") > F.col("b")) & (F.col("comp") != F.col("oc")) & fits("sp", "osp"))
+    placed = placed.select("token", "node", "sp", "comp", "n", "w", F.min("comp").over(over).alias("lo"), F.max("comp").over(over).alias("hi")).where("lo <> hi")
+    placed = util.written(placed.select("token", "node", "sp", "comp", F.col("n").alias("xn"), F.col("w").alias("xw")), "open")
+    right = placed.select(F.col("token").alias("t2"), F.col("node").alias("b"), F.col("sp").alias("osp"), F.col("comp").alias("oc"), F.col("xn").alias("yn"), F.col("xw").alias("yw"))
+    rest = placed.join(right, (F.col("token") == F.col("t2")) & (F.col("node") > F.col("b")) & (F.col("comp") != F.col("oc")) & fits("sp", "osp") & close)
     rest = rest.select(F.col("node").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti")
     more = util.written(verified(util.written(rest, "rest"), texts, n, num, den), "links")
     more = more.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")

@@ -7,6 +7,9 @@ from skein.llm import pieces as sp
 from skein.llm import util
 
 
+PIECES = sp.load()
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return sp.Vocabulary(sp.load(), sp.ALPHA)
@@ -17,7 +20,7 @@ def segmentations(v, s):
         return [((), 1.0)]
     out = []
     for b in range(1, len(s) + 1):
-        t = v.prefix.get(s[:b], -1)
+        t = {p: i for i, (p, _, k) in enumerate(PIECES) if k == "n"}.get(s[:b], -1)
         if t >= 0:
             out += [((t, *rest), v.weight[t] * w) for rest, w in segmentations(v, s[b:])]
         elif b == 1:
