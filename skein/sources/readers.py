@@ -35,6 +35,11 @@ def utterance_id(*parts) -> Column:
     return F.substring(F.sha1(F.concat(*parts)), 1, 16)
 
 
+def _plain(path: Column) -> Column:
+    """One spelling of local paths, which readers write with one slash or three."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
 def _folder(path: Column) -> Column:
     return F.regexp_replace(path, r"/[^/]*$", "")
 
@@ -60,6 +65,7 @@ def audio_listing(spark: SparkSession, root: str, glob: str = "*.wav") -> DataFr
 
 def with_audio(rows: DataFrame, audio: DataFrame, on_missing: str = "skip") -> DataFrame:
     """rows with their audio's duration: unmatched rows go, or are an error."""
+    rows, audio = (df.withColumn("audio_path", _plain(F.col("audio_path"))) for df in (rows, audio))
     if on_missing == "error":
         _refuse(rows.join(audio, "audio_path", "left_anti"), "audio_path", "no audio for")
     return rows.join(audio, "audio_path")
@@ -113,7 +119,8 @@ def scan_references(spark: SparkSession, tsv: str, audio_root: str, audio: DataF
     _refuse(lines.where(F.size(cells) < 4), "value", "fewer than four columns")
     rows = lines.select(F.concat(F.lit(audio_root + "/"), cells[1]).alias("wav"), cells[3].alias("reference"))
     if audio is not None:
-        _refuse(rows.join(audio.withColumnRenamed("audio_path", "wav"), "wav", "left_anti"), "wav", "no audio for")
+        have = audio.select(_plain(F.col("audio_path")).alias("key"))
+        _refuse(rows.withColumn("key", _plain(F.col("wav"))).join(have, "key", "left_anti"), "wav", "no audio for")
     return rows.orderBy(F.split("wav", "/"))
 
 
