@@ -113,7 +113,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                     out.append((before[p], 1, *row[2:]))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(),) * 5 + (pa.binary(),) * 2)], names=["p", "edge", "id", "tie", "n", "fp", "z"])
 
-    sent = rows.mapInArrow(send, "p long, edge long, id long, tie long, n long, fp binary, z binary")
+    sent = rows.mapInArrow(util.lean(send), "p long, edge long, id long, tie long, n long, fp binary, z binary")
     sent = sent.repartition(max(1, min(parts // 4, len(ps))), "p").sortWithinPartitions("p", "edge", "id", "tie")
     schema = pa.schema([("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fp", pa.binary()), ("edited_fp", pa.binary()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
@@ -144,7 +144,7 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         if held:
             yield out()
 
-    return sent.mapInArrow(edit, "id long, n_chars long, edited_sha256 string, fp binary, edited_fp binary, near_edited double, near_next double")
+    return sent.mapInArrow(util.lean(edit), "id long, n_chars long, edited_sha256 string, fp binary, edited_fp binary, near_edited double, near_next double")
 
 
 def within_radius(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -222,7 +222,7 @@ def within_radius(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         if held:
             yield near(held)
 
-    return rows.mapInArrow(scan, "fp binary, n long").groupBy("fp").agg(F.sum("n").alias("n_near"))
+    return rows.mapInArrow(util.lean(scan), "fp binary, n long").groupBy("fp").agg(F.sum("n").alias("n_near"))
 
 
 def _block(raw: bytes, row: int, k: int, bits: int) -> int:

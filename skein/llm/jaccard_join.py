@@ -180,14 +180,16 @@ def scan(rows: DataFrame, n: int, num: int, den: int) -> DataFrame:
             for cid, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 yield _sent(Chunk(blob, n), bits, cid)
 
-    sent = blobs.mapInArrow(send, "r long, cid long, shingles binary, counts binary")
+    sent = blobs.mapInArrow(util.lean(send), "r long, cid long, shingles binary, counts binary")
     answers = sent.groupBy("r").applyInArrow(_classed, "cid long, r long, classes binary")
 
     def finish(chunk: pa.Table, got: pa.Table) -> pa.Table:
         unpack = zstandard.ZstdDecompressor().decompress
         by_range = {r: z for r, z in zip(got.column("r").to_pylist(), got.column("classes").to_pylist())}
         classes = np.frombuffer(b"".join(unpack(by_range[r]) for r in sorted(by_range)), np.uint8)
-        return pa.Table.from_batches([_rows(Chunk(blob, n), classes, num, den) for blob in chunk.column("blob").to_pylist()])
+        out = [_rows(Chunk(blob, n), classes, num, den) for blob in chunk.column("blob").to_pylist()]
+        util.release()
+        return pa.Table.from_batches(out)
 
     return blobs.groupBy("cid").cogroup(answers.groupBy("cid")).applyInArrow(finish, "kind long, a long, b long, c long, n long, w array<long>")
 
@@ -246,7 +248,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
             at = [k for k, x in enumerate(keep) if x]
             yield _batch("a b", [a[k] for k in at], [b[k] for k in at])
 
-    return held.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+    return held.select("a", "b", "ta", "tb").mapInArrow(util.lean(check), "a long, b long")
 
 
 def bloom_positions(x: np.ndarray) -> list:
@@ -281,7 +283,7 @@ def candidate_texts(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
             texts = util.texts_of(batch.column(1).take(pa.array(rows)))
             yield pa.record_batch([pa.array(ids[rows]), pa.array([z.compress(t or b"") for t in texts], pa.binary()), pa.array([_digest(u)[0] for u in shingle_sets(texts, n)], pa.int64())], names=["node", "z", "s"])
 
-    return docs.mapInArrow(pack, "node long, z binary, s long")
+    return docs.mapInArrow(util.lean(pack), "node long, z binary, s long")
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, num: int = NUM, den: int = DEN) -> DataFrame:

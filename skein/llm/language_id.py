@@ -270,7 +270,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     given = docs.select(docs[id_col], *keep, docs[text_col].alias("__t"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
-    return given.mapInArrow(scan, f"{schema}, lang_pred string, score double, n_words long, n_switches long")
+    return given.mapInArrow(util.lean(scan), f"{schema}, lang_pred string, score double, n_words long, n_switches long")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

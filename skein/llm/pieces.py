@@ -31,13 +31,61 @@ SPACE = "▁"
 OWN = "\ud800"
 SEGMENT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 #: Segments up to this length share vector operations; longer ones are filtered in windows of their own.
-LONG, SLICE_CHARS = 40, 2 << 20
+LONG, SLICE_CHARS = 40, 1 << 20
 #: Weights grow by this for each character, which changes no conditional probability but keeps sums in range.
 GROWTH = 1e4
 
 
+class Trie:
+    """Prefixes of pieces as nodes; a node's child by character, for whole arrays.
+
+    Children are in one hash table with linear probing, built on the driver and
+    sent as arrays.
+    """
+
+    def __init__(self, pieces: dict):
+        """pieces: text -> id."""
+        node = {"": 0}
+        for p in pieces:
+            for k in range(1, len(p) + 1):
+                node.setdefault(p[:k], len(node))
+        self.piece = np.full(len(node), -1, np.int64)
+        for p, i in pieces.items():
+            self.piece[node[p]] = i
+        rest = [(node[p[:-1]] << 21 | ord(p[-1]), n) for p, n in node.items() if p]
+        keys, children = np.array([k for k, _ in rest], np.int64), np.array([n for _, n in rest], np.int64)
+        self.bits = int(np.ceil(np.log2(max(4, 4 * len(keys)))))
+        self.keys = np.full((1 << self.bits) + 1, -1, np.int64)
+        self.children = np.zeros(len(self.keys), np.int64)
+        todo, slot = np.arange(len(keys)), self._slot(keys)
+        while len(todo):
+            free = self.keys[slot] < 0
+            at, first = np.unique(slot[free], return_index=True)
+            self.keys[at], self.children[at] = keys[todo[free][first]], children[todo[free][first]]
+            left = self.keys[slot] != keys[todo]
+            todo, slot = todo[left], (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(U64) * U64(0x9E3779B97F4A7C15)) >> U64(64 - self.bits)).astype(np.int64)
+
+    def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """Children, -1 where there is none."""
+        key = node << 21 | char
+        slot = self._slot(key)
+        found = self.keys[slot]
+        out = np.where(found == key, self.children[slot], -1)
+        todo = np.flatnonzero((found != key) & (found >= 0))
+        while len(todo):
+            slot_ = slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[slot_]
+            hit = found == key[todo]
+            out[todo[hit]] = self.children[slot_[hit]]
+            todo = todo[~hit & (found >= 0)]
+        return out
+
+
 class Vocabulary:
-    """Pieces by text, prefixes of pieces, byte pieces, and each id's bytes."""
+    """Pieces by text, byte pieces, weights, and each id's bytes."""
 
     def __init__(self, pieces: list, alpha: float):
         """pieces: (text, score, kind) by id; kind n normal, b byte, else special."""
@@ -47,11 +95,7 @@ class Vocabulary:
         self.weight = np.zeros(len(pieces))
         for i, p, _ in normal:
             self.weight[i] = (rank[i] + 1.0) ** -alpha * GROWTH ** len(p)
-        self.prefix: dict = {}
-        for i, p, _ in normal:
-            for k in range(1, len(p)):
-                self.prefix.setdefault(p[:k], -1)
-            self.prefix[p] = i
+        self.trie = Trie({p: i for i, p, _ in normal})
         self.longest = max(len(p) for _, p, _ in normal)
         self.text = [b""] * len(pieces)
         for i, p, _ in normal:
@@ -59,33 +103,40 @@ class Vocabulary:
         for b, i in enumerate(self.bytes):
             self.text[i] = bytes([b])
         crossing = any(SPACE in p.lstrip(SPACE) or ("\n" in p and p != "\n") for _, p, _ in normal)
-        self.segment = re.compile("(?s).+") if crossing else SEGMENT
-        self.unknown: dict = {}
+        self.whole = crossing
+
+    def segments(self, text: str) -> list:
+        return [text] if self.whole else SEGMENT.findall(text)
 
     def edges(self, segments: list) -> tuple:
         """(segment, from, to, token) of all edges; a token below 0 is the
         character -(token + 1) in bytes, for characters without a piece."""
-        get, seg, start, end, token = self.prefix.get, [], [], [], []
-        for k, s in enumerate(segments):
-            n = len(s)
-            for a in range(n):
-                one = False
-                for b in range(a + 1, n + 1):
-                    t = get(s[a:b])
-                    if t is None:
-                        break
-                    if t >= 0:
-                        one |= b == a + 1
-                        seg.append(k)
-                        start.append(a)
-                        end.append(b)
-                        token.append(t)
-                if not one:
-                    seg.append(k)
-                    start.append(a)
-                    end.append(a + 1)
-                    token.append(-1 - ord(s[a]))
-        return tuple(np.array(x, np.int64) for x in (seg, start, end, token))
+        size = np.fromiter(map(len, segments), np.int64, len(segments))
+        chars = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        seg = np.repeat(np.arange(len(size)), size)
+        at = np.arange(len(chars)) - np.repeat(np.cumsum(size) - size, size)
+        left = size[seg] - at
+        live, node = np.arange(len(chars)), np.zeros(len(chars), np.int64)
+        out: list = []
+        for n in range(1, self.longest + 1):
+            ok = left[live] >= n
+            live, node = live[ok], node[ok]
+            child = self.trie.step(node, chars[live + n - 1])
+            piece = np.where(child >= 0, self.trie.piece[child], -1)
+            if n == 1:
+                piece = np.where(piece >= 0, piece, -1 - chars)
+                out.append((live, 1, piece))
+            else:
+                hit = np.flatnonzero(piece >= 0)
+                out.append((live[hit], n, piece[hit]))
+            ok = child >= 0
+            live, node = live[ok], child[ok]
+            if not len(live):
+                break
+        where = np.concatenate([w for w, _, _ in out]) if out else np.empty(0, np.int64)
+        n = np.concatenate([np.full(len(w), n) for w, n, _ in out]) if out else where
+        token = np.concatenate([t for _, _, t in out]) if out else where
+        return seg[where], at[where], at[where] + n, token
 
     def weights(self, token: np.ndarray) -> np.ndarray:
         """A character without a piece has but this one edge, so its weight is free."""
@@ -113,49 +164,70 @@ def _draws(key: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 class Lattice:
-    """Distinct segments after forward filtering: node a segment and place."""
+    """Distinct segments after forward filtering.
+
+    Segments are ranked by falling length and nodes numbered place by place, so
+    the nodes of one place, and the edges into them, are one run: a forward step
+    handles all segments at once.
+    """
 
     def __init__(self, vocabulary: Vocabulary, segments: list):
-        self.size = np.fromiter(map(len, segments), np.int64, len(segments))
-        self.first = np.cumsum(self.size + 1) - (self.size + 1)
+        size = np.fromiter(map(len, segments), np.int64, len(segments))
+        order = np.argsort(-size, kind="stable")
+        self.rank = np.empty(len(size), np.int64)
+        self.rank[order] = np.arange(len(size))
+        self.size = size
+        longest = int(size.max(initial=0))
+        alive = np.searchsorted(-size[order], -np.arange(longest + 1), "right")
+        self.base = np.cumsum(alive) - alive
         seg, start, end, token = vocabulary.edges(segments)
-        source, target = self.first[seg] + start, self.first[seg] + end
-        order = np.argsort(target, kind="stable")
-        source, target, self.token, end = source[order], target[order], token[order], end[order]
+        row = self.rank[seg]
+        source, target = self.base[start] + row, self.base[end] + row
+        # long pieces first among a node's edges: most draws end there
+        by = np.argsort(target * 64 + (63 - (end - start)))
+        self.source, target, self.token, end = source[by], target[by], token[by], end[by]
         weight = vocabulary.weights(self.token)
-        total = np.zeros(int((self.size + 1).sum()))
-        total[self.first] = 1
-        by_end = np.argsort(end, kind="stable")
-        cut = np.searchsorted(end[by_end], np.arange(1, int(self.size.max(initial=0)) + 2))
-        share = np.zeros(len(source))
-        for a, b in zip(cut[:-1], cut[1:]):
-            e = by_end[a:b]
-            share[e] = total[source[e]] * weight[e]
-            np.add.at(total, target[e], share[e])
+        total = np.ones(int(alive.sum()))
+        cut = np.searchsorted(end, np.arange(1, longest + 2))
+        share = np.empty(len(end))
+        first = np.flatnonzero(np.append(True, target[1:] != target[:-1])) if len(target) else np.empty(0, np.int64)
+        # every node past a segment's start has an edge: a piece or its last character
+        self.first = np.zeros(len(total) + 1, np.int64)
+        self.first[int(alive[0]) if len(alive) else 0 : len(total)] = first
+        for p in range(1, longest + 1):
+            a, b = cut[p - 1], cut[p]
+            share[a:b] = total[self.source[a:b]] * weight[a:b]
+            nodes = slice(self.base[p], self.base[p] + alive[p])
+            total[nodes] = np.add.reduceat(share[a:b], self.first[nodes] - a)
         share /= total[target]
-        # edges of a node run from node to node + 1 on one axis
-        node_first = np.searchsorted(target, np.arange(len(total)))
         run = np.cumsum(share)
-        before = np.append(0, run)[node_first[target]]
-        self.axis = target + np.minimum(run - before, 1.0)
-        self.source, self.target = source, target
-        self.edge_first, self.edge_last = node_first, np.append(node_first[1:], len(target)) - 1
+        self.upto = run - np.append(0, run)[self.first[target]]
+        last = np.append(target[1:] != target[:-1], True) if len(target) else np.empty(0, bool)
+        self.upto[last] = 2.0
 
     def sample(self, which: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of one segmentation of each segment in `which`, and how many each has."""
-        node, goal = self.first[which] + self.size[which], self.first[which]
-        active = np.arange(len(which))
+        row, place = self.rank[which], self.size[which].copy()
+        active = np.flatnonzero(place > 0)
+        place, row_of = place[active], row[active]
         count = np.zeros(len(which), np.int64)
         steps = []
+        node = self.base[place] + row_of
+        starts = int(self.base[1]) if len(self.base) > 1 else len(self.rank)
+        mixed = key[active]
         while len(active):
-            at = node[active]
-            u = _draws(key[active], at - goal[active])
-            edge = np.searchsorted(self.axis, at + u, "right")
-            edge = np.clip(edge, self.edge_first[at], self.edge_last[at])
+            u = _draws(mixed, place)
+            edge = self.first[node]
+            more = np.flatnonzero(self.upto[edge] <= u)
+            while len(more):
+                edge[more] += 1
+                more = more[self.upto[edge[more]] <= u[more]]
             steps.append((active, self.token[edge]))
             count[active] += 1
-            node[active] = self.source[edge]
-            active = active[node[active] > goal[active]]
+            node = self.source[edge]
+            ok = node >= starts
+            active, node, mixed = active[ok], node[ok], mixed[ok]
+            place = np.searchsorted(self.base, node, "right") - 1
         end = np.cumsum(count)
         out = np.empty(int(count.sum()), np.int64)
         for s, (who, token) in enumerate(steps):
@@ -188,15 +260,14 @@ def sample_long(vocabulary: Vocabulary, segment: str, key: int) -> list:
 
 def encode_texts(vocabulary: Vocabulary, texts: list, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, how many each text has). Every text gets one leading space."""
-    find = vocabulary.segment.findall
+    find = vocabulary.segments
     lists = [find(SPACE + t.replace(SPACE, OWN).replace(" ", SPACE)) if t else [] for t in texts]
     n = np.array([len(x) for x in lists], np.int64)
     flat = [s for x in lists for s in x]
     if not flat:
         return np.empty(0, np.int64), np.zeros(len(texts), np.int64)
-    number: dict = {}
-    codes = np.fromiter((number.setdefault(s, len(number)) for s in flat), np.int64, len(flat))
-    names = list(number)
+    names = list(dict.fromkeys(flat))
+    codes = np.fromiter(map(dict(zip(names, range(len(names)))).__getitem__, flat), np.int64, len(flat))
     doc = np.repeat(np.arange(len(texts)), n)
     at = np.arange(len(flat)) - (np.cumsum(n) - n)[doc]
     key = util.mix(keys.astype(U64)[doc] + util.mix(at.astype(U64)))
@@ -266,14 +337,16 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
     U+2581 too. Other columns aren't read; empty tables give empty results.
     """
     util.bounded_batches(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(load(model_file))
+    # as plain state, for a broadcast can't hold this package's classes by value
+    built = Vocabulary(load(model_file), alpha)
+    held = docs.sparkSession.sparkContext.broadcast((vars(built.trie), {k: v for k, v in vars(built).items() if k != "trie"}))
 
     def scan(batches):
-        vocabulary = None
+        vocabulary, trie = Vocabulary.__new__(Vocabulary), Trie.__new__(Trie)
+        vars(trie).update(held.value[0])
+        vars(vocabulary).update(held.value[1], trie=trie)
+        decoder = Decoder(vocabulary.text)
         for keys, texts in _slices(batches):
-            if vocabulary is None:
-                vocabulary = Vocabulary(held.value, alpha)
-                decoder = Decoder(vocabulary.text)
             key = np.array([util.NULL_ID if k is None else k for k in keys], np.int64).view(U64)
             ids, count = encode_texts(vocabulary, texts, util.mix(key ^ util.mix(np.array([seed], U64))))
             back = decoder.texts(ids, count)
@@ -282,24 +355,23 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mode
             arrays = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)).astype(np.int32)), pa.array(ids.astype(np.int32)), mask=pa.array(null))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), arrays, pa.array(count), pa.array(same)], names=["id", "ids", "n_tokens", "lossless"])
 
-    return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(scan, "id long, ids array<int>, n_tokens long, lossless boolean").withColumnRenamed("id", id_col)
+    return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(util.lean(scan), "id long, ids array<int>, n_tokens long, lossless boolean").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model_file: str = MODEL_FILE) -> DataFrame:
     """(id, text) for every row: the texts that arrays of ids stand for; null for null."""
-    held = encoded.sparkSession.sparkContext.broadcast(load(model_file))
+    held = encoded.sparkSession.sparkContext.broadcast(Vocabulary(load(model_file), ALPHA).text)
 
     def scan(batches):
-        decoder = None
+        decoder = Decoder(held.value)
         for batch in batches:
-            decoder = decoder or Decoder(Vocabulary(held.value, 1.0).text)
             lists = batch.column(1).to_pylist()
             ids = np.array([i for x in lists for i in x or []], np.int64)
             texts = decoder.texts(ids, np.array([len(x or []) for x in lists], np.int64))
             texts = [None if x is None else t.decode("utf-8", "replace") for x, t in zip(lists, texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "text"])
 
-    return encoded.select(encoded[id_col].cast("long"), encoded[ids_col]).mapInArrow(scan, "id long, text string").withColumnRenamed("id", id_col)
+    return encoded.select(encoded[id_col].cast("long"), encoded[ids_col]).mapInArrow(util.lean(scan), "id long, text string").withColumnRenamed("id", id_col)
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -179,7 +179,7 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, size: int = CHUNK_BYTES)
         if ids:
             yield out()
 
-    return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(pack, "cid long, n long, blob binary")
+    return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(util.lean(pack), "cid long, n long, blob binary")
 
 
 def unpacked(blob: bytes) -> tuple:
@@ -212,7 +212,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for cid, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 yield _send(np.unique(Chunk(blob, window, period).anchor_hash), bits, cid)
 
-    first = blobs.mapInArrow(anchors, SENT).groupBy("r").applyInArrow(_counted(0), ANSWERED)
+    first = blobs.mapInArrow(util.lean(anchors), SENT).groupBy("r").applyInArrow(_counted(0), ANSWERED)
     first = util.written(first, "anchors")
 
     def windows_of(blob, got):
@@ -223,6 +223,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def windows(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         got = _by_kind(answers)
         out = [_send(np.unique(windows_of(blob, got)[2]), bits, cid) for cid, blob in zip(chunk.column("cid").to_pylist(), chunk.column("blob").to_pylist())]
+        util.release()
         return pa.Table.from_batches(out)
 
     by_cid = lambda df: df.groupBy("cid")
@@ -253,6 +254,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 removed.append(spans)
             columns = [c.ids, pa.array(texts, pa.string()), pa.array(c.end - c.start), pa.array(before[c.end] - before[c.start]), pa.array(removed, schema.field("removed").type)]
             parts.append(pa.table(columns, schema=schema))
+        util.release()
         return pa.concat_tables(parts) if parts else schema.empty_table()
 
     return (

@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             found = [number[word[cut[k] : cut[k + 1]]].ravel() for k in range(b - a)]
             yield pa.record_batch([pa.array(y, pa.int64()), pa.array([f[f > 0].astype(np.int32).tobytes() for f in found], pa.binary())], names=["y", "f"])
 
-    got = rows.select("__id", "__t", "__y").mapInArrow(features, "y long, f binary").toArrow()
+    got = rows.select("__id", "__t", "__y").mapInArrow(util.lean(features), "y long, f binary").toArrow()
     return fit_rows(sorted(zip(got.column(0).to_pylist(), (np.frombuffer(f, np.int32).astype(np.int64) for f in got.column(1).to_pylist())), key=lambda r: (r[0], r[1].tobytes())), share)
 
 
@@ -178,7 +178,7 @@ def severity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             each = -np.diff(np.concatenate([np.ones((b - a, 1)), p, np.zeros((b - a, 1))], axis=1), axis=1)
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(p[:, -1]), pa.array(each.argmax(axis=1).astype(np.int32)), pa.array(p[:, 0] > TOXIC_FROM)], names=["id", "severity", "p_toxic", "p_severe", "grade", "toxic"])
 
-    return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(score, "id long, severity double, p_toxic double, p_severe double, grade int, toxic boolean").withColumnRenamed("id", id_col)
+    return docs.select(docs[id_col].cast("long"), docs[text_col]).mapInArrow(util.lean(score), "id long, severity double, p_toxic double, p_severe double, grade int, toxic boolean").withColumnRenamed("id", id_col)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

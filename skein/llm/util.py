@@ -33,10 +33,13 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again: cuts the
-    lineage, survives the loss of executors, and is computed once."""
+    lineage, survives the loss of executors, and is computed once. The table goes
+    when the driver ends."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -74,6 +77,33 @@ def bounded_batches(spark: SparkSession, size: int = 8 << 20) -> None:
         spark.conf.set(key, str(size))
 
 
+def release() -> None:
+    """Gives freed memory back to the system; Python workers live on between tasks."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def lean(scan):
+    """A function over Arrow batches that leaves its worker small when it ends."""
+
+    def run(batches):
+        try:
+            yield from scan(batches)
+        finally:
+            release()
+
+    return run
+
+
 def texts_of(column) -> list:
     """Arrow string column to a list of bytes or None."""
     import pyarrow as pa
