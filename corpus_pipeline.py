@@ -14,13 +14,13 @@ from skein.llm import jaccard_join, language_id, line_dedup, mixing, pieces, uti
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents whose language is less sure than this, by share of their words, go.
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.4
 #: The mix asks for this share of the tokens that stay; a leaf is not repeated here.
 MIX_PERCENT, MIX_EPOCHS = 90, 1
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter or without a language that holds half of
+    """Drops documents without a letter or without a language that holds two fifths of
     their words; the others stay as they are."""
     util.bounded_batches(spark)
     model = language_id.fit(docs)

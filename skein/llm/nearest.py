@@ -8,17 +8,24 @@ squared projected distance over r squared is chi-square with PROJECTED degrees o
 freedom; the search stops once a vector nearer than the k-th found would have
 shown up by now with probability CONFIDENCE.
 
-Candidates are split into blocks of bounded size, each with its own tree;
-queries come in blocks too and visit every candidate block. Only k rows a query
-and block are merged.
+The whole index is two levels deep. A kd-tree over a bounded sample of projected
+vectors cuts space into blocks of about BLOCK vectors; every vector is in one,
+with a tree of its own there, and a block keeps its bounding box. A query first
+searches its home block; the k-th distance found there then shuts out all blocks
+whose boxes are too far by the same test, and stops the search early in the
+others. Queries of a block come in blocks too; only k rows a query and block are
+merged.
 """
 
 from __future__ import annotations
 
 
 
+import math
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +35,8 @@ K, EVERY = 20, 20
 PROJECTED, CONFIDENCE, LEAF = 8, 0.97, 64
 #: Vectors in a block of candidates and of queries.
 BLOCK, QUERIES_BLOCK = 32_768, 2_048
+#: Projected vectors that the cuts between blocks are fitted on, at most.
+SAMPLE = 20_000
 SEED = 99
 
 
@@ -95,31 +104,62 @@ def projection(dims: int) -> np.ndarray:
     return np.random.default_rng(SEED).normal(size=(dims, PROJECTED))
 
 
+def lifted(x: np.ndarray, longest: float) -> np.ndarray:
+    """Projections of vectors lifted to length `longest`."""
+    lift = np.sqrt(np.maximum(longest**2 - np.einsum("ij,ij->i", x, x), 0))
+    return np.hstack([x, lift[:, None]]) @ projection(x.shape[1] + 1)
+
+
+def cuts(points: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """(axis, threshold) of the inner nodes of a kd-tree with 2 ** levels leaves, children of node k at 2 k and 2 k + 1."""
+    axis, at = np.zeros(1 << levels, np.int64), np.zeros(1 << levels)
+    parts = {1: points}
+    for node in range(1, 1 << levels):
+        own = parts.pop(node)
+        if len(own):
+            axis[node] = int(np.argmax(own.max(axis=0) - own.min(axis=0)))
+            at[node] = np.median(own[:, axis[node]])
+        right = own[:, axis[node]] > at[node]
+        parts[2 * node], parts[2 * node + 1] = own[~right], own[right]
+    return axis, at
+
+
+def placed(points: np.ndarray, axis: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The leaf of each point."""
+    node = np.ones(len(points), np.int64)
+    while len(node) and node[0] < len(axis):
+        node = 2 * node + (points[np.arange(len(points)), axis[node]] > at[node])
+    return node - len(axis)
+
+
+def query_point(q: np.ndarray) -> np.ndarray:
+    """Projections of queries: their lift is 0."""
+    return np.hstack([q, np.zeros((len(q), 1))]) @ projection(q.shape[1] + 1)
+
+
 class Block:
     """Vectors of one block: originals, lifted projections and their tree."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, longest: float):
-        self.ids, self.x, self.longest = ids, x, longest
-        lift = np.sqrt(np.maximum(longest**2 - np.einsum("ij,ij->i", x, x), 0))
-        self.matrix = projection(x.shape[1] + 1)
-        self.tree = KdTree(np.hstack([x, lift[:, None]]) @ self.matrix)
+        self.longest = longest
+        self.tree = KdTree(lifted(x, longest))
         self.x, self.ids = x[self.tree.order], ids[self.tree.order]
         self.need = chi_square_quantile(CONFIDENCE, PROJECTED)
 
-    def search(self, qid: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k nearest found, and only rows other than the query's."""
+    def search(self, qid: int, q: np.ndarray, k: int, bound: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, scores) of the k nearest found, of rows other than the query's.
+        bound: a squared distance within which k are known already."""
         tree = self.tree
-        near = tree.leaf_distances(np.append(q, 0) @ self.matrix)
+        near = tree.leaf_distances(query_point(q[None])[0])
         order = np.argsort(near, kind="stable")
         ids, scores = np.empty(0, np.int64), np.empty(0)
         level = q @ q + self.longest**2
         a, step = 0, 8
         while a < len(order):
-            if len(ids) >= k:
-                # squared distance of the k-th found; nearer vectors unseen are at least near[order[a]] away projected
-                kth = max(level - 2 * scores[-1], 1e-12)
-                if near[order[a]] >= self.need * kth:
-                    break
+            # nearer vectors than the k-th that are unseen are at least near[order[a]] away in projection
+            kth = min(bound, level - 2 * scores[-1] if len(ids) >= k else np.inf)
+            if near[order[a]] >= self.need * max(kth, 1e-12):
+                break
             leaves = order[a : a + step]
             rows = np.concatenate([np.arange(s, e) for s, e in zip(tree.start[leaves], tree.end[leaves])])
             rows = rows[self.ids[rows] != qid]
@@ -131,6 +171,15 @@ class Block:
         return ids, scores
 
 
+def _vectors(batch: pa.RecordBatch, column: str = "v"):
+    """(dimension, rows, matrix) for each dimension in a batch."""
+    d = np.asarray(batch.column("d"))
+    v = batch.column(column)
+    for n in np.unique(d).tolist():
+        rows = np.flatnonzero(d == n)
+        yield n, rows, pa.compute.list_flatten(v.take(pa.array(rows))).to_numpy(zero_copy_only=False).reshape(-1, n)
+
+
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(id, v double array) of the vectors that take part."""
     v = F.col(vec_col).cast("array<double>")
@@ -149,40 +198,105 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "v
     of their own, and repeated queries give one answer. Scores are in double
     precision on the original vectors. Empty tables give empty results.
     """
-    util.bounded_batches(vectors.sparkSession)
+    spark = vectors.sparkSession
+    util.bounded_batches(spark)
     own = usable(vectors, id_col, vec_col).withColumn("d", F.size("v"))
     asked = usable(queries, id_col, vec_col).dropDuplicates(["id"]).withColumn("d", F.size("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c * c))
-    sizes = {r.d: r for r in own.groupBy("d").agg(F.count("*").alias("n"), F.max(norm).alias("longest")).collect()}
-    longest = {d: r.longest for d, r in sizes.items()}
-    blocks = {d: max(1, -(-r.n // BLOCK)) for d, r in sizes.items()}
-    if not blocks:
+    sizes = own.groupBy("d").agg(F.count("*").alias("n"), F.max(norm).alias("longest")).collect()  # a row for each vector length
+    longest = {r.d: r.longest for r in sizes}
+    levels = {r.d: max(0, math.ceil(math.log2(r.n / BLOCK))) for r in sizes}
+    if not sizes:
         return own.select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).where("false")
-    asked_n = {r.d: r.n for r in asked.groupBy("d").agg(F.count("*").alias("n")).collect()}
-    as_map = lambda m: F.create_map(*[F.lit(x) for kv in m.items() for x in kv])
-    n_blocks = as_map(blocks)[F.col("d")]
-    n_asks = F.coalesce(as_map({d: max(1, -(-asked_n.get(d, 1) // QUERIES_BLOCK)) for d in blocks})[F.col("d")], F.lit(1))
-    # every query block meets every candidate block: a row goes to as many pairs as there are blocks of the other side
-    own = own.select("d", F.lit(False).alias("asks"), "id", "v", F.pmod(F.xxhash64("id", F.lit(1)), n_blocks).alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), (n_asks - 1).cast("long"))).alias("q"))
-    asked = asked.where(F.col("d").isin(*blocks)).select("d", F.lit(True).alias("asks"), "id", "v", F.explode(F.sequence(F.lit(0).cast("long"), (n_blocks - 1).cast("long"))).alias("b"), F.pmod(F.xxhash64("id", F.lit(2)), n_asks).alias("q"))
+    need = chi_square_quantile(CONFIDENCE, PROJECTED)
+
+    # cuts between blocks, from a sample
+    part = {r.d: int(min(1.0, SAMPLE / len(sizes) / r.n) * (1 << 30)) for r in sizes if levels[r.d]}
+    trees = {d: (np.zeros(1, np.int64), np.zeros(1)) for d in longest}
+    if part:
+        drawn = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < F.create_map(*[F.lit(x) for kv in part.items() for x in kv])[F.col("d")]
+
+        def project(batches):
+            for batch in batches:
+                for d, _, x in _vectors(batch):
+                    yield pa.RecordBatch.from_arrays([pa.array([d] * len(x), pa.int32()), pa.array(lifted(x, longest[d]).tolist(), pa.list_(pa.float64()))], names=["d", "p"])
+
+        got = own.where(drawn).select("d", "v").mapInArrow(project, "d int, p array<double>").toPandas()
+        trees |= {d: cuts(np.array(g["p"].tolist()), levels[d]) for d, g in got.groupby("d")}
+
+    def place(point):
+        def run(batches):
+            for batch in batches:
+                for d, rows, x in _vectors(batch):
+                    p = point(x, d)
+                    ids, v = batch.column("id").take(pa.array(rows)), batch.column("v").take(pa.array(rows))
+                    columns = [pa.array([d] * len(x), pa.int32()), pa.array(placed(p, *trees[d])), ids, v, pa.array(p.tolist(), pa.list_(pa.float64()))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["d", "b", "id", "v", "p"])
+
+        return run
+
+    schema = "d int, b long, id long, v array<double>, p array<double>"
+    own = util.written(own.select("d", "id", "v").mapInArrow(place(lambda x, d: lifted(x, longest[d])), schema), "vectors")
+    asked = util.written(asked.where(F.col("d").isin(*longest)).select("d", "id", "v").mapInArrow(place(lambda x, d: query_point(x)), schema), "queries")
+
+    # boxes of the blocks that hold rows: as many as blocks; large ones (ties) fall into parts
+    edges = [f(F.get("p", F.lit(k))).alias(f"{n}{k}") for n, f in (("lo", F.min), ("hi", F.max)) for k in range(PROJECTED)]
+    boxes = own.groupBy("d", "b").agg(F.count("*").alias("n"), *edges).toPandas()
+    boxes["parts"] = np.ceil(boxes["n"] / (2 * BLOCK)).astype(int)
+    known = {d: (g["b"].to_numpy(), g["parts"].to_numpy(), g[[f"lo{k}" for k in range(PROJECTED)]].to_numpy(), g[[f"hi{k}" for k in range(PROJECTED)]].to_numpy()) for d, g in boxes.groupby("d")}
+    parts = spark.createDataFrame(boxes[["d", "b", "parts"]].astype("int64"))
+    rows = own.join(parts, ["d", "b"]).withColumn("s", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts"))).select(F.col("d").cast("long"), "b", "s", "id", "v")
+
+    def route(batches):
+        """The blocks a query visits, nearest first: only home (kth null), or all others near enough."""
+        for batch in batches:
+            kth, out = batch.column("kth").to_pylist(), []
+            for d, at, p in _vectors(batch.set_column(batch.schema.get_field_index("d"), "d", pa.array([PROJECTED] * batch.num_rows, pa.int32())), "p"):
+                for k, q in zip(at.tolist(), p):
+                    blocks, split, lo, hi = known[batch.column("d")[k].as_py()]
+                    gap = np.maximum(np.maximum(lo - q, q - hi), 0)
+                    near = np.einsum("ij,ij->i", gap, gap)
+                    home = int(np.argmin(near))
+                    own_part = batch.column("id")[k].as_py() % int(split[home])
+                    if kth[k] is None:
+                        out.append((k, int(blocks[home]), own_part, None))
+                        continue
+                    for j in np.flatnonzero(near < need * max(kth[k], 1e-12)).tolist():
+                        out += [(k, int(blocks[j]), s, kth[k]) for s in range(int(split[j])) if (j, s) != (home, own_part)]
+            take = pa.array([o[0] for o in out], pa.int64())
+            columns = [batch.column("d").cast(pa.int64()).take(take), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64()), batch.column("id").take(take), batch.column("v").take(take), pa.array([o[3] for o in out], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["d", "b", "s", "id", "v", "kth"])
 
     def meet(group: pa.Table) -> pa.Table:
         asks = np.asarray(group.column("asks").combine_chunks().to_numpy(zero_copy_only=False))
-        ids = np.asarray(group.column("id"))
-        d = group.column("d")[0].as_py()
+        ids, d = np.asarray(group.column("id")), group.column("d")[0].as_py()
         x = pa.compute.list_flatten(group.column("v").combine_chunks()).to_numpy().reshape(-1, d)
-        out_q, out_i, out_s = [], [], []
+        bound = group.column("kth").to_pandas().fillna(np.inf).to_numpy()
+        out_q, out_i, out_s, out_d = [], [], [], []
         if asks.any() and not asks.all():
             block = Block(ids[~asks], x[~asks], longest[d])
-            for qid, q in zip(ids[asks].tolist(), x[asks]):
-                i, s = block.search(qid, q, k)
+            for qid, q, most in zip(ids[asks].tolist(), x[asks], bound[asks].tolist()):
+                i, score = block.search(qid, q, k, most)
                 out_q.append(np.full(len(i), qid))
                 out_i.append(i)
-                out_s.append(s)
+                out_s.append(score)
+                out_d.append(q @ q + longest[d] ** 2 - 2 * score)
         cat = lambda xs, t: pa.array(np.concatenate(xs) if xs else np.empty(0, t))
-        return pa.table({"query_id": cat(out_q, np.int64), "vec_id": cat(out_i, np.int64), "score": cat(out_s, np.float64)})
-
-    found = own.unionByName(asked).groupBy("d", "b", "q").applyInArrow(meet, "query_id long, vec_id long, score double")
+        return pa.table({"query_id": cat(out_q, np.int64), "vec_id": cat(out_i, np.int64), "score": cat(out_s, np.float64), "far": cat(out_d, np.float64)})
+
+    def visited(routed: DataFrame) -> DataFrame:
+        """k rows at most for each query and block; a block's queries come QUERIES_BLOCK at a time."""
+        load = routed.groupBy("d", "b", "s").agg(F.ceil(F.count("*") / QUERIES_BLOCK).alias("qs"))
+        seekers = routed.join(load, ["d", "b", "s"]).select("d", "b", "s", F.lit(True).alias("asks"), "id", "v", "kth", F.pmod(F.xxhash64("id", F.lit(2)), F.col("qs")).alias("q"))
+        held = rows.join(load, ["d", "b", "s"]).select("d", "b", "s", F.lit(False).alias("asks"), "id", "v", F.lit(None).cast("double").alias("kth"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("qs") - 1)).alias("q"))
+        return held.unionByName(seekers).groupBy("d", "b", "s", "q").applyInArrow(meet, "query_id long, vec_id long, score double, far double")
+
+    routes = "d long, b long, s long, id long, v array<double>, kth double"
+    first = util.written(visited(asked.withColumn("kth", F.lit(None).cast("double")).mapInArrow(route, routes)), "home")
+    # the k-th distance found at home; a query that found fewer must visit every block
+    kth = first.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.max("far")).alias("kth"))
+    bounded = asked.join(kth, "id", "left").withColumn("kth", F.coalesce("kth", F.lit(float("inf"))))
+    found = first.unionByName(visited(bounded.select(*asked.columns, "kth").mapInArrow(route, routes)))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
