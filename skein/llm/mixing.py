@@ -51,7 +51,7 @@ def allocate(leaves: DataFrame, levels=LEVELS, weights=WEIGHTS, budget_percent:
             up = node.select(*[F.col(c).alias(f"__u{i}") for i, c in enumerate(path)], "budget")
             kids = kids.join(up, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__u{i}")) for i, c in enumerate(path)]))
         else:
-            kids = kids.withColumn("__k", F.lit(1)).join(node, "__k").drop("__k")  # one row: the root
+            kids = kids.withColumn("__k", F.lit(1)).join(F.broadcast(node), "__k").drop("__k")  # one row: the root
         # by rising tokens for a weight: a child is full if its share of what is left reaches its cap
         part = Window.partitionBy(*(path or [F.lit(1)])).orderBy(F.col("__cap") / F.col("__w"), F.col(level))
         before = part.rowsBetween(Window.unboundedPreceding, -1)

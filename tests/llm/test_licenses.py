@@ -64,3 +64,8 @@ def test_texts_and_edges(spark):
     for r in out:
         assert tuple(r[c] for c in COLUMNS) == brute(texts[r.id]), texts[r.id]
     assert ls.scan_licenses(df.where("false")).count() == 0
+
+
+def test_no_python_and_no_shuffle_in_the_plan(spark, sf_dir):
+    plan = ls.op1_license_scan(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "Exchange"))
