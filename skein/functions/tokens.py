@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
@@ -246,12 +246,8 @@ def tokenizer_json(bpe: Bpe, languages: tuple[str, ...] = LANGUAGES) -> str:
 def language_run(added: DataFrame) -> DataFrame:
     """(id, tag): the tokens right after <|startoftranscript|>, without a gap,
     whose content is two or three lower-case letters."""
-    start = added.where("content = '<|startoftranscript|>'").select(F.max("id").alias("sot"))
-    tags = added.crossJoin(F.broadcast(start)).where(F.col("id") > F.col("sot"))  # one row: the start token
-    tags = tags.withColumn("ok", F.col("content").rlike(r"\A<\|[a-z]{2,3}\|>\z"))
-    first_other = tags.where(~F.col("ok")).agg(F.min("id").alias("stop"))
-    run = tags.where("ok").crossJoin(F.broadcast(first_other)).where(F.col("stop").isNull() | (F.col("id") < F.col("stop")))
-    from pyspark.sql import Window
-
-    run = run.withColumn("k", F.row_number().over(Window.partitionBy("sot").orderBy("id")))
+    start = added.where("content = '<|startoftranscript|>'").agg(F.max("id").alias("sot")).withColumn("one", F.lit(1))
+    tags = added.withColumn("one", F.lit(1)).join(F.broadcast(start), "one").where(F.col("id") > F.col("sot"))  # one row: the start token
+    tags = tags.where(F.col("content").rlike(r"\A<\|[a-z]{2,3}\|>\z"))
+    run = tags.withColumn("k", F.row_number().over(Window.partitionBy("sot").orderBy("id")))
     return run.where(F.col("id") == F.col("sot") + F.col("k")).select("id", F.regexp_replace("content", r"<\||\|>", "").alias("tag"))

@@ -63,7 +63,7 @@ def speaker_split(rows: DataFrame, seed: int, per: int = 100) -> DataFrame:
     many are test, the others train; no speaker is in two."""
     speakers = shuffled(rows.select("source", "speaker").distinct(), seed, "source", "speaker")
     n = speakers.agg(F.greatest(F.floor(F.count("*") / per), F.lit(1)).cast("long").alias("__n")).withColumn("__one", F.lit(1))
-    labelled = speakers.withColumn("__one", F.lit(1)).join(n, "__one")
+    labelled = speakers.withColumn("__one", F.lit(1)).join(F.broadcast(n), "__one")  # one row: the count
     split = F.when(F.col("rank") <= F.col("__n"), "dev").when(F.col("rank") <= 2 * F.col("__n"), "test").otherwise("train")
     labelled = labelled.select(F.col("source").alias("__s"), F.col("speaker").alias("__p"), split.alias("split"))
     return rows.join(labelled, F.col("source").eqNullSafe(F.col("__s")) & F.col("speaker").eqNullSafe(F.col("__p"))).drop("__s", "__p")
