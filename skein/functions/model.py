@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from . import signal as sg
+from .signal import N_SAMPLES, log_mel
 
 
 @dataclass(frozen=True)
@@ -153,8 +153,8 @@ def encoded(waves: DataFrame, sizes: Sizes, seed: int = 0) -> DataFrame:
             rows = []
             for utt, wave in zip(pdf["utt_id"], pdf["wave"]):
                 wave = np.asarray(wave, np.float32)
-                for k, a in enumerate(range(0, max(len(wave), 1), sg.N_SAMPLES)):
-                    mel = sg.log_mel(wave[a : a + sg.N_SAMPLES], sizes.mels)[:, : 2 * sizes.audio_context]
+                for k, a in enumerate(range(0, max(len(wave), 1), N_SAMPLES)):
+                    mel = log_mel(wave[a : a + N_SAMPLES], sizes.mels)[:, : 2 * sizes.audio_context]
                     rows.append((utt, k, model.encode(mel).mean(axis=0).tolist()))
             yield pd.DataFrame(rows, columns=["utt_id", "window", "state"])
 

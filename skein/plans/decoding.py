@@ -13,14 +13,16 @@ from pyspark.sql.types import ArrayType, FloatType, IntegerType, LongType
 
 from ..functions import evidence as ev
 from ..functions import model as md
-from ..functions import signal as sg
 from ..functions import tokens as tk
+from ..functions.evidence import Greedy, Specials, XorShift, choose, sample, timestamp_rules
+from ..functions.evidence import paired_segments as segments_by_pairs
+from ..functions.signal import augment
 from ..sources import readers
 from . import surrogates as s
 
 QUERIES, SQL = {}, {}
 #: In a vector read as logits: text below 40, end, start, controls, then timestamps.
-SPECIALS = ev.Specials(eot=40, sot=41, timestamp_begin=48)
+SPECIALS = Specials(eot=40, sot=41, timestamp_begin=48)
 
 
 def query(sql: str | None = None):
@@ -78,7 +80,7 @@ def _per_row(kind, f):
 @query()
 def sampled_tokens(spark, sf_dir):
     """A token drawn from each vector at temperature 0.7, seeded by its id."""
-    draw = _per_row(LongType(), lambda k, z: ev.sample(z, 0.7, ev.XorShift(k)))
+    draw = _per_row(LongType(), lambda k, z: sample(z, 0.7, XorShift(k)))
     return s.table(spark, sf_dir, "embeddings").select("vec_id", draw("vec_id", "embedding").alias("token"))
 
 
@@ -87,7 +89,7 @@ def constrained_tokens(spark, sf_dir):
     """The token that the timestamp grammar leaves, after no token, a stamp, and a stamp and text."""
     e = s.table(spark, sf_dir, "embeddings")
     names = {"first": [], "after_stamp": [48], "after_text": [48, 5], "closing": [48, 5, 50]}
-    picks = {n: _per_row(LongType(), lambda k, z, h=h: ev.choose(ev.timestamp_rules(z, h, SPECIALS), SPECIALS)) for n, h in names.items()}
+    picks = {n: _per_row(LongType(), lambda k, z, h=h: choose(timestamp_rules(z, h, SPECIALS), SPECIALS)) for n, h in names.items()}
     return e.select("vec_id", *[f("vec_id", "embedding").alias(n) for n, f in picks.items()])
 
 
@@ -97,7 +99,7 @@ def greedy_tokens(spark, sf_dir):
 
     def decode(k, z):
         step = lambda prefix, tokens: np.roll(z, 7 * len(tokens)) * 8
-        return ev.Greedy(step, SPECIALS, longest=32).run([41])[0]
+        return Greedy(step, SPECIALS, longest=32).run([41])[0]
 
     return s.table(spark, sf_dir, "embeddings").select("vec_id", _per_row(ArrayType(IntegerType()), decode)("vec_id", "embedding").alias("tokens"))
 
@@ -109,7 +111,7 @@ def paired_segments(spark, sf_dir):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            out = [(c, n, a, e, len(x)) for c, t in zip(pdf["conv_id"], pdf["t"]) for n, (a, e, x) in enumerate(ev.paired_segments(list(t), 1000, 1000, 30.0))]
+            out = [(c, n, a, e, len(x)) for c, t in zip(pdf["conv_id"], pdf["t"]) for n, (a, e, x) in enumerate(segments_by_pairs(list(t), 1000, 1000, 30.0))]
             yield pd.DataFrame(out, columns=["conv_id", "segment", "start", "end", "n"])
 
     return rows.mapInPandas(run, "conv_id long, segment int, start double, end double, n int")
@@ -127,7 +129,7 @@ def augmented_waves(spark, sf_dir):
     @F.pandas_udf(ArrayType(FloatType()))
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for key, wave in batches:
-            yield pd.Series([sg.augment(np.asarray(w, np.float32), k) for k, w in zip(key, wave)])
+            yield pd.Series([augment(np.asarray(w, np.float32), k) for k, w in zip(key, wave)])
 
     return _waves(spark, sf_dir).select("utt_id", F.size("wave").alias("before"), F.size(run("utt_id", "wave")).alias("after"))
 
