@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,21 +16,27 @@ BUCKETS = (("near", 0.1), ("degraded", 0.5))
 
 
 def edit_distance(reference, hypothesis) -> int:
-    """Unit-cost Levenshtein distance of two sequences, a row of the table at a
-    time: d[j] = j + min over k <= j of (best[k] - k), with best[k] from above."""
-    if len(reference) == 0 or len(hypothesis) == 0:
-        return max(len(reference), len(hypothesis))
-    number: dict = {}
-    a = [number.setdefault(x, len(number)) for x in reference]
-    b = np.array([number.setdefault(x, len(number)) for x in hypothesis])
-    steps = np.arange(len(b) + 1)
-    row = steps.copy()
-    for i, x in enumerate(a, 1):
-        best = np.empty_like(row)
-        best[0] = i
-        best[1:] = np.minimum(row[:-1] + (b != x), row[1:] + 1)
-        row = np.minimum.accumulate(best - steps) + steps
-    return int(row[-1])
+    """Unit-cost Levenshtein distance of two sequences, by bit vectors: a column
+    of the table is two whole numbers, the places where it rises and falls."""
+    if len(reference) > len(hypothesis):
+        reference, hypothesis = hypothesis, reference
+    n = len(reference)
+    if n == 0:
+        return len(hypothesis)
+    where: dict = {}
+    for i, x in enumerate(reference):
+        where[x] = where.get(x, 0) | 1 << i
+    every, last = (1 << n) - 1, 1 << (n - 1)
+    rises, falls, distance = every, 0, n
+    for y in hypothesis:
+        same = where.get(y, 0)
+        diagonal = (((same & rises) + rises) ^ rises) | same | falls
+        up = falls | (every & ~(diagonal | rises))
+        down = rises & diagonal
+        distance += bool(up & last) - bool(down & last)
+        up, down = (up << 1 | 1) & every, (down << 1) & every
+        rises, falls = down | (every & ~(same | falls | up)), up & (same | falls)
+    return distance
 
 
 @F.pandas_udf(LongType())
@@ -40,13 +45,20 @@ def word_distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
         yield pd.Series([edit_distance((r or "").split(), (h or "").split()) for r, h in zip(ref, hyp)], dtype="int64")
 
 
+@F.pandas_udf(LongType())
+def code_point_distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for ref, hyp in batches:
+        yield pd.Series([edit_distance(r, h) for r, h in zip(ref, hyp)], dtype="int64")
+
+
 def squeezed(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", "")
 
 
 def char_distance(ref: Column, hyp: Column) -> Column:
-    """Code points without white space, inside the engine."""
-    return F.levenshtein(squeezed(ref), squeezed(hyp)).cast("long")
+    """Code points without white space. Bit vectors, since the engine's own
+    function takes the product of the lengths and lines can be very long."""
+    return code_point_distance(squeezed(ref), squeezed(hyp))
 
 
 def n_words(c: Column) -> Column:
