@@ -24,7 +24,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     their words; the others stay as they are."""
     util.bounded_batches(spark)
     model = language_id.fit(docs)
-    found = language_id.identify(docs, model, keep=COLUMNS[1:])
+    found = language_id.identify(util.spread(docs), model, keep=COLUMNS[1:])
     kept = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     return kept.select(*COLUMNS)
 

@@ -253,7 +253,7 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_fingerprints(util.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return document_fingerprints(util.spread(util.table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 QUERIES = {"op9_fingerprints": op9_fingerprints}

@@ -364,7 +364,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every document: n_shingles and component_id."""
-    return near_duplicate_classes(util.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicate_classes(util.spread(util.table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 QUERIES = {"op2_jaccard_join": op2_jaccard_join}

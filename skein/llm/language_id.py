@@ -277,7 +277,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's predicted language, by a model of the documents that aren't held out."""
     util.bounded_batches(spark)
     docs = util.table(spark, sf_dir, "documents")
-    out = identify(docs.select("doc_id", "text"), fit(docs))
+    out = identify(util.spread(docs.select("doc_id", "text")), fit(docs))
     return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_words", "n_switches")
 
 

@@ -376,7 +376,7 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", mod
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's sampled ids, and whether they decode to its text."""
-    return encode(util.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return encode(util.spread(util.table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 QUERIES = {"op3_sentencepiece": op3_sentencepiece}

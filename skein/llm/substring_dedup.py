@@ -267,7 +267,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of every document: n_words, n_removed and the SHA-256 of the words kept."""
-    out = substring_dedup(util.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = substring_dedup(util.spread(util.table(spark, sf_dir, "documents").select("doc_id", "text")))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 

@@ -183,7 +183,8 @@ def severity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's severity, by a model fitted on the labelled ones."""
-    docs = util.table(spark, sf_dir, "documents").select("doc_id", "text")
+    util.bounded_batches(spark)
+    docs = util.spread(util.table(spark, sf_dir, "documents").select("doc_id", "text"))
     return severity(docs, fit(docs, util.table(spark, sf_dir, "labels")))
 
 

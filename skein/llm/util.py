@@ -18,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, where the input is fewer files than there are cores (a
+    file of one row group is one task's work, however it is split)."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    small = df.rdd.getNumPartitions() <= 4 * n and len(df.inputFiles()) < n
+    return df.repartition(n) if small else df
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
