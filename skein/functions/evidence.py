@@ -18,11 +18,17 @@ TEMPERATURES = (0.0, 0.2, 0.4, 0.6, 0.8, 1.0)
 MIN_ADVANCE, MAX_ADVANCE = 8_000, 480_000
 
 
+def _let(value: Column, body) -> Column:
+    """body of a value that is computed once for a row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(logits: Column) -> Column:
-    """Probabilities of an array, largest taken off first."""
-    top = F.array_max(logits)
-    exps = F.transform(logits, lambda x: F.exp((x - top).cast("double")))
-    return F.transform(exps, lambda e: e / F.aggregate(exps, F.lit(0.0), lambda a, x: a + x))
+    """Probabilities of an array, largest taken off first; time in proportion to its length."""
+    exps = _let(F.struct(logits.alias("z"), F.array_max(logits).alias("top")), lambda s: F.transform(s["z"], lambda x: F.exp((x - s["top"]).cast("double"))))
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
+    sums = _let(exps, lambda e: F.struct(e.alias("e"), total(e).alias("total")))
+    return _let(sums, lambda s: F.transform(s["e"], lambda e: e / s["total"]))
 
 
 def argmax_last(values: Column) -> Column:

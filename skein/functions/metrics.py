@@ -11,6 +11,7 @@ from pyspark.sql.types import LongType
 
 #: Languages scored by character.
 BY_CHARACTER = ("zh", "ja", "th", "lo", "my", "km")
+LONG_PRODUCT = 250_000
 #: Upper bounds of the buckets after "exact".
 BUCKETS = (("near", 0.1), ("degraded", 0.5))
 
@@ -48,7 +49,7 @@ def word_distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
 @F.pandas_udf(LongType())
 def code_point_distance(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for ref, hyp in batches:
-        yield pd.Series([edit_distance(r, h) for r, h in zip(ref, hyp)], dtype="int64")
+        yield pd.Series([edit_distance(r or "", h or "") for r, h in zip(ref, hyp)], dtype="int64")
 
 
 def squeezed(c: Column) -> Column:
@@ -56,9 +57,11 @@ def squeezed(c: Column) -> Column:
 
 
 def char_distance(ref: Column, hyp: Column) -> Column:
-    """Code points without white space. Bit vectors, since the engine's own
-    function takes the product of the lengths and lines can be very long."""
-    return code_point_distance(squeezed(ref), squeezed(hyp))
+    """Code points without white space. The engine's own function takes the
+    product of the lengths; beyond LONG_PRODUCT of them, bit vectors do it."""
+    a, b = squeezed(ref), squeezed(hyp)
+    long = F.length(a).cast("long") * F.length(b) > LONG_PRODUCT
+    return F.when(long, code_point_distance(F.when(long, a), F.when(long, b))).otherwise(F.levenshtein(a, b).cast("long"))
 
 
 def n_words(c: Column) -> Column:

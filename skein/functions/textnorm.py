@@ -42,6 +42,8 @@ SPELLINGS = {"mobilisation": "mobilization", "cancelation": "cancellation"}
 
 _BRACKETS, _PARENS = re.compile(r"[<\[][^>\]]*[>\]]"), re.compile(r"\(([^)]+?)\)")
 _REWRITES = [(re.compile(rf"\b{a}\b"), b) for a, b in CONTRACTIONS] + [(re.compile(rf"\b{a}\b"), b + " ") for a, b in TITLES] + [(re.compile(rf"{a}\b"), " " + b) for a, b in (*PERFECTS, *ENDINGS)]
+#: Words without an apostrophe that are rewritten; a text with neither needs no rewrite.
+_BARE = re.compile(rf"\b({'|'.join(a for a, _ in (*CONTRACTIONS, *TITLES) if chr(39) not in a)})\b")
 _FILLERS = re.compile(rf"\b({'|'.join(FILLERS)})\b")
 
 
@@ -49,23 +51,41 @@ def _asides_removed(s: str) -> str:
     return _PARENS.sub("", _BRACKETS.sub("", s))
 
 
+class _Letters(dict):
+    """A translation table that looks a character up once."""
+
+    def __init__(self, keep: str = "", drop_marks: bool = False):
+        super().__init__()
+        self.keep, self.drop_marks = keep, drop_marks
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        kind = unicodedata.category(c)
+        if c in self.keep:
+            to = c
+        elif self.drop_marks and c in FOLDINGS:
+            to = FOLDINGS[c]
+        elif self.drop_marks and kind == "Mn":
+            to = ""
+        else:
+            to = " " if kind[0] in "MSP" else c
+        self[code] = to
+        return to
+
+
+_SPACED, _PLAIN = _Letters(), {}
+
+
 def symbols_to_spaces(s: str) -> str:
     """Marks, symbols and punctuation as spaces, after compatibility composition."""
-    return "".join(" " if unicodedata.category(c)[0] in "MSP" else c for c in unicodedata.normalize("NFKC", s))
+    return unicodedata.normalize("NFKC", s).translate(_SPACED)
 
 
 def remove_symbols_and_diacritics(s: str, keep: str = "") -> str:
     """Diacritics dropped, other symbols as spaces, except those to keep."""
-
-    def plain(c: str) -> str:
-        if c in keep:
-            return c
-        if c in FOLDINGS:
-            return FOLDINGS[c]
-        kind = unicodedata.category(c)
-        return "" if kind == "Mn" else " " if kind[0] in "MSP" else c
-
-    return "".join(map(plain, unicodedata.normalize("NFKD", s)))
+    if keep not in _PLAIN:
+        _PLAIN[keep] = _Letters(keep, True)
+    return unicodedata.normalize("NFKD", s).translate(_PLAIN[keep])
 
 
 def normalize_basic(s: str) -> str:
@@ -81,8 +101,9 @@ def normalize_english(s: str, spellings: dict[str, str] = SPELLINGS) -> str:
     """English: contractions and titles spelled out, numbers as digits, one spelling."""
     s = _FILLERS.sub("", _asides_removed(s.lower()))
     s = re.sub(r"\s+'", "'", s)
-    for pattern, to in _REWRITES:
-        s = pattern.sub(to, s)
+    if "'" in s or _BARE.search(s):
+        for pattern, to in _REWRITES:
+            s = pattern.sub(to, s)
     s = re.sub(r"(\d),(\d)", r"\1\2", s)
     s = re.sub(r"\.([^0-9]|\Z)", r" \1", s)
     s = normalize_english_numbers(remove_symbols_and_diacritics(s, KEPT_SYMBOLS))

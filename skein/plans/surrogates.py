@@ -14,9 +14,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores, where the input is fewer files than there are cores (a
+    file of one row group is one task's work, however it is split)."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    small = df.rdd.getNumPartitions() <= 4 * n and len(df.inputFiles()) < n
+    return df.repartition(n) if small else df
+
+
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, utt_id, audio_path, text, language, task, duration, source, speaker, translation)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    docs = docs.select("doc_id", "lang", "source", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     utt = F.substring(F.sha1(F.concat_ws("|", "source", F.col("doc_id").cast("string"), F.col("line").cast("string"))), 1, 16)
     task = F.when((F.col("doc_id") + F.col("line")) % 4 == 0, "translate").otherwise("transcribe")
     return docs.select(
