@@ -64,3 +64,13 @@ def test_without_the_training_data_subpackage(tmp_path):
             (tmp_path / "skein" / "llm" / "__pycache__").mkdir(parents=True)
         code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 80 and not any(k.startswith('op') for k in q) and 'pipeline' not in q"
         subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=os.environ | {"PYTHONPATH": str(tmp_path)})
+
+
+def test_scans_are_pruned_and_filters_pushed(spark, sf_dir):
+    plan = catalog.QUERIES["star_pricing"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(l_shipdate), LessThanOrEqual(l_shipdate" in plan
+    assert "ReadSchema: struct<l_quantity:double,l_returnflag:string,l_linestatus:string,l_shipdate:timestamp" in plan
+    plan = catalog.QUERIES["dedupe_transcripts"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+    plan = catalog.QUERIES["star_left_join"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<c_custkey:bigint>" in plan
