@@ -33,6 +33,7 @@ def weight_of(level: str, weights: dict[str, dict[str, int]]):
 def allocate(leaves: DataFrame, levels=LEVELS, weights=WEIGHTS, budget_percent: int = BUDGET_PERCENT, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """A budget of tokens for each leaf (levels..., tokens): column `budget`.
 
+    Weights are whole numbers; a node of weight 0 is left out with all below it.
     The root has budget_percent of all tokens. From the top, a node's budget goes
     to its children in proportion to their weights; a child takes no more than
     its subtree's tokens times max_epochs, and what it can't take goes to its
@@ -46,7 +47,7 @@ def allocate(leaves: DataFrame, levels=LEVELS, weights=WEIGHTS, budget_percent:
     path: list[str] = []
     for depth, level in enumerate(levels):
         own = [*path, level]
-        kids = leaves.groupBy(*own).agg(F.sum(cap).cast("long").alias("__cap")).withColumn("__w", weight_of(level, weights))
+        kids = leaves.groupBy(*own).agg(F.sum(cap).cast("long").alias("__cap")).withColumn("__w", weight_of(level, weights)).where("__w > 0")
         if path:
             up = node.select(*[F.col(c).alias(f"__u{i}") for i, c in enumerate(path)], "budget")
             kids = kids.join(up, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__u{i}")) for i, c in enumerate(path)]))

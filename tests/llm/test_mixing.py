@@ -30,6 +30,7 @@ def test_shortages_go_to_siblings_before_ancestors(spark):
 def test_weights_and_epochs(spark):
     rows = [("web", "en", "s1", 100), ("books", "en", "s2", 100)]
     assert budgets(spark, rows, budget_percent=350, max_epochs=5) == {"s1": 500, "s2": 200}
+    assert budgets(spark, rows, weights={"domain": {"web": 0}}, budget_percent=100, max_epochs=1) == {"s2": 100}
     docs = spark.createDataFrame([(k, "web", "en", "s1", 10) for k in range(10)], "doc_id long, domain string, lang string, source string, n_tokens long")
     out = mx.mix(docs, budget_percent=250, max_epochs=5).collect()
     assert sum(r.copies for r in out) == 25 and {r.copies for r in out} == {2, 3}
