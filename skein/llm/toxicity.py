@@ -85,13 +85,14 @@ def fit_rows(rows: list, share: np.ndarray) -> Model:
     weights = np.zeros(DIMS, np.float32)
     if len(np.unique(y)) < 2:
         return Model(weights, np.where(np.arange(1, GRADES) <= (y[0] if len(y) else 0), -40.0, 40.0))
-    doc = np.repeat(np.arange(len(rows)), [len(f) for _, f in rows])
-    feature = np.concatenate([f for _, f in rows])
     one, n1, n0 = y > 0, max(1, (y > 0).sum()), max(1, (y == 0).sum())
-    pairs = np.unique(doc * DIMS + feature)
-    d, f = pairs // DIMS, pairs % DIMS
-    p1 = (np.bincount(f[one[d]], minlength=DIMS) + 0.5) / (n1 + 1)
-    p0 = (np.bincount(f[~one[d]], minlength=DIMS) + 0.5) / (n0 + 1)
+    # row by row, so that no array holds all features of all rows
+    counted, present = [], np.zeros((2, DIMS))
+    for toxic, (_, found) in zip(one, rows):
+        u, c = np.unique(found, return_counts=True)
+        counted.append((u.astype(np.int32), c.astype(np.int32)))
+        present[int(toxic), u] += 1
+    p1, p0 = (present[1] + 0.5) / (n1 + 1), (present[0] + 0.5) / (n0 + 1)
     pooled = (p1 * n1 + p0 * n0) / (n1 + n0)
     z = np.abs(p1 - p0) / np.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
     z[0] = 0
@@ -99,9 +100,9 @@ def fit_rows(rows: list, share: np.ndarray) -> Model:
     kept = np.sort(kept[z[kept] >= LEAST_Z])
     number = np.full(DIMS, -1)
     number[kept] = np.arange(len(kept))
-    ok = number[feature] >= 0
-    cell, x = np.unique(doc[ok] * max(1, len(kept)) + number[feature[ok]], return_counts=True)
-    d, f = cell // max(1, len(kept)), cell % max(1, len(kept))
+    cells = [(np.full((number[u] >= 0).sum(), k), number[u[number[u] >= 0]], c[number[u] >= 0]) for k, (u, c) in enumerate(counted)]
+    d, f, x = (np.concatenate(z) for z in zip(*cells))
+    del counted, cells, present
     w, v = np.zeros(len(kept)), share[y] / share[y].sum()
     base = np.clip(np.array([v[y >= k].sum() for k in range(1, GRADES)]), 1e-4, 1 - 1e-4)
     cuts = -np.log(base / (1 - base))
@@ -155,7 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.record_batch([pa.array(y, pa.int64()), pa.array([f[f > 0].astype(np.int32).tobytes() for f in found], pa.binary())], names=["y", "f"])
 
     got = rows.select("__id", "__t", "__y").mapInArrow(util.lean(features), "y long, f binary").toArrow()
-    return fit_rows(sorted(zip(got.column(0).to_pylist(), (np.frombuffer(f, np.int32).astype(np.int64) for f in got.column(1).to_pylist())), key=lambda r: (r[0], r[1].tobytes())), share)
+    return fit_rows(sorted(zip(got.column(0).to_pylist(), (np.frombuffer(f, np.int32) for f in got.column(1).to_pylist())), key=lambda r: (r[0], r[1].tobytes())), share)
 
 
 def severity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
