@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .signal import N_SAMPLES, log_mel
+from .signal import HOP, N_SAMPLES, log_mel
 
 
 @dataclass(frozen=True)
@@ -86,12 +86,13 @@ class Model:
 
     def attention(self, name: str, x: np.ndarray, keys: np.ndarray, values: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
         q, k, v = self.heads(self.dense(f"{name}.query", x)), self.heads(keys), self.heads(values)
-        z = q @ k.transpose(0, 2, 1) / np.sqrt(q.shape[-1])
+        z = q / np.sqrt(q.shape[-1]) @ k.transpose(0, 2, 1)
         if mask is not None:
-            z = np.where(mask, -np.inf, z)
-        p = np.exp(z - z.max(axis=-1, keepdims=True))
-        p /= p.sum(axis=-1, keepdims=True)
-        return self.dense(f"{name}.out", (p @ v).transpose(1, 0, 2).reshape(len(x), -1))
+            z[:, mask] = -np.inf
+        z -= z.max(axis=-1, keepdims=True)
+        np.exp(z, out=z)
+        p = z @ v / z.sum(axis=-1, keepdims=True)
+        return self.dense(f"{name}.out", p.transpose(1, 0, 2).reshape(len(x), -1))
 
     def block(self, name: str, x: np.ndarray, audio: np.ndarray | None = None, cache: dict | None = None, causal: bool = False) -> np.ndarray:
         h = self.norm(f"{name}.attn_ln", x)
@@ -145,7 +146,10 @@ def parameter_report(weights: dict[str, np.ndarray]) -> dict[str, int]:
 
 
 def encoded(waves: DataFrame, sizes: Sizes, seed: int = 0) -> DataFrame:
-    """(utt_id, window, state array) of waves (utt_id, wave), 30 seconds at a time."""
+    """(utt_id, window, state array) of waves (utt_id, wave), as many samples at a time
+    as the audio context has frames for (30 seconds at 1,500 states): every sample
+    is encoded, and a window's last samples are padded to its whole context."""
+    span = min(N_SAMPLES, 2 * sizes.audio_context * HOP)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = Model(sizes, random_weights(sizes, seed))
@@ -153,8 +157,8 @@ def encoded(waves: DataFrame, sizes: Sizes, seed: int = 0) -> DataFrame:
             rows = []
             for utt, wave in zip(pdf["utt_id"], pdf["wave"]):
                 wave = np.asarray(wave, np.float32)
-                for k, a in enumerate(range(0, max(len(wave), 1), N_SAMPLES)):
-                    mel = log_mel(wave[a : a + N_SAMPLES], sizes.mels)[:, : 2 * sizes.audio_context]
+                for k, a in enumerate(range(0, max(len(wave), 1), span)):
+                    mel = log_mel(wave[a : a + span], sizes.mels)[:, : 2 * sizes.audio_context]
                     rows.append((utt, k, model.encode(mel).mean(axis=0).tolist()))
             yield pd.DataFrame(rows, columns=["utt_id", "window", "state"])
 

@@ -16,7 +16,7 @@ from ..functions import model as md
 from ..functions import tokens as tk
 from ..functions.evidence import Greedy, Specials, XorShift, choose, sample, timestamp_rules
 from ..functions.evidence import paired_segments as segments_by_pairs
-from ..functions.signal import augment
+from ..functions.signal import N_FRAMES, augment
 from ..sources import readers
 from . import surrogates as s
 
@@ -136,8 +136,8 @@ def augmented_waves(spark, sf_dir):
 
 @query()
 def encoder_states(spark, sf_dir):
-    """Mean encoder states of each user's signal, by a small model with seeded random weights."""
-    return md.encoded(_waves(spark, sf_dir), md.Sizes())
+    """Mean encoder states of each user's signal, whole windows of 30 seconds, by a small model with seeded random weights."""
+    return md.encoded(_waves(spark, sf_dir), md.Sizes(audio_context=N_FRAMES // 2))
 
 
 @query()

@@ -211,3 +211,26 @@ def test_model_over_recordings(spark):
     df = spark.createDataFrame([("a", [0.1] * 100), ("b", [])], "utt_id string, wave array<float>")
     rows = md.encoded(df, md.Sizes()).collect()
     assert {(r.utt_id, r.window, len(r.state)) for r in rows} == {("a", 0, 32), ("b", 0, 32)}
+
+
+@pytest.mark.parametrize("context", [20, 1500])
+def test_model_reads_every_sample(spark, context):
+    rng = np.random.default_rng(2)
+    wave = rng.standard_normal(14_000).astype(np.float32)
+    late = wave.copy()
+    late[13_000:] = rng.standard_normal(1000)
+    df = spark.createDataFrame([("a", wave.tolist()), ("b", late.tolist())], "utt_id string, wave array<float>")
+    states = {(r.utt_id, r.window): r.state for r in md.encoded(df, md.Sizes(audio_context=context)).collect()}
+    last = {20: 2, 1500: 0}[context]
+    assert set(states) == {(u, k) for u in "ab" for k in range(last + 1)}
+    assert all((states["a", k] == states["b", k]) == (k < last) for k in range(last + 1))
+
+
+def test_encoder_states_cover_thirty_seconds(spark, sf_dir):
+    from skein.plans import decoding
+
+    got = {r.utt_id: r.state for r in decoding.encoder_states(spark, sf_dir).collect()}
+    sizes = md.Sizes(audio_context=sg.N_FRAMES // 2)
+    model = md.Model(sizes, md.random_weights(sizes))
+    for r in decoding._waves(spark, sf_dir).limit(2).collect():
+        assert np.allclose(got[r.utt_id], model.encode(sg.log_mel(np.asarray(r.wave, np.float32), sizes.mels)).mean(axis=0))
