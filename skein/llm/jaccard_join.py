@@ -15,7 +15,8 @@ bits) and verified on whole shingle sets.
 
 Classes need no pair twice: two star rounds link each group to the leaders of
 its buckets, first those with the fewest shingles of their own, which edited
-copies have in common; after them only pairs of different classes are compared. So a
+copies have in common, and each member to the first and the last of its group; after
+them only pairs of different classes are compared, in buckets and in groups. So a
 bucket of thousands of near copies costs rows in proportion to its members, and
 still no link between classes is lost: every candidate pair is either within
 one class already or verified.
@@ -322,32 +323,41 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     several = members.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select("grp")
     active = buckets.select("grp").distinct().union(several).distinct()
     members = members.join(active, "grp").join(reps.groupBy("s").agg(F.min("node").alias("node")), "s")
-    members = util.written(members.withColumn("lead", F.min("node").over(Window.partitionBy("grp"))).select("grp", "node", "lead", "n", "w"), "members")
+    members = util.written(members.withColumn("lead", F.min("node").over(Window.partitionBy("grp"))).withColumn("last", F.max("node").over(Window.partitionBy("grp"))).select("grp", "node", "lead", "last", "n", "w"), "members")
     nodes = members.select("node").distinct()
     texts = candidate_texts(rows, nodes, n)
     texts = texts.join(members.select("node").distinct(), "node", "left_semi")
     own = reps.select("node", "s")
     texts = util.written(texts.join(own, ["node", "s"], "left_semi").dropDuplicates(["node", "s"]).select("node", "z"), "texts")
 
-    # star rounds: each group with the leaders of its buckets, each member with its group's leader
+    # star rounds: each group with the leaders of its buckets, each member with the first and the last of its group
     stars = [buckets.where(F.col("grp") != F.col(g)).where(fits("sp", s)).select(F.least("grp", g).alias("x"), F.greatest("grp", g).alias("y")) for g, s in (("g1", "sp1"), ("g2", "sp2"))]
-    side = lambda p, key, node: members.where("node = lead").select(F.col("grp").alias(key), F.col("node").alias(node), F.col("n").alias(f"{p}n"), F.col("w").alias(f"{p}w")).dropDuplicates([key])
+    side = lambda p, key, node, at="lead": members.where(F.col("node") == F.col(at)).select(F.col("grp").alias(key), F.col("node").alias(node), F.col("n").alias(f"{p}n"), F.col("w").alias(f"{p}w")).dropDuplicates([key])
     close = F.expr(_near_enough("x", "y", num, den))
     pairs = stars[0].union(stars[1]).distinct().join(side("x", "x", "a"), "x").join(side("y", "y", "b"), "y").where(close).select("a", "b")
     within = members.where("node <> lead").select(F.col("node").alias("a"), F.col("grp").alias("y"), F.col("n").alias("xn"), F.col("w").alias("xw")).join(side("y", "y", "b"), "y")
     pairs = pairs.union(within.where(close).select("a", "b"))
+    within = members.where("node <> last").select(F.col("node").alias("a"), F.col("grp").alias("y"), F.col("n").alias("xn"), F.col("w").alias("xw")).join(side("y", "y", "b", "last"), "y")
+    pairs = pairs.union(within.where(close).select("a", "b"))
     pairs = util.written(pairs.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).where("a <> b").distinct(), "stars")
     links = util.written(verified(pairs, texts, n, num, den), "links")
     comp = components(links)
 
-    # what is left: pairs of a bucket whose classes still differ
+    # what is left: pairs of a group or a bucket whose classes still differ
     labelled = members.join(comp, "node", "left").select("grp", "node", F.coalesce("comp", "node").alias("comp"), "n", "w")
+    mixed = Window.partitionBy("grp")
+    own = labelled.select("*", F.min("comp").over(mixed).alias("lo"), F.max("comp").over(mixed).alias("hi")).where("lo <> hi")
+    own = util.written(own.select("grp", "node", "comp", F.col("n").alias("xn"), F.col("w").alias("xw")), "own")
     placed = buckets.select("token", "grp", "sp").join(labelled, "grp")
     over = Window.partitionBy("token")
     placed = placed.select("token", "node", "sp", "comp", "n", "w", F.min("comp").over(over).alias("lo"), F.max("comp").over(over).alias("hi")).where("lo <> hi")
     placed = util.written(placed.select("token", "node", "sp", "comp", F.col("n").alias("xn"), F.col("w").alias("xw")), "open")
     right = placed.select(F.col("token").alias("t2"), F.col("node").alias("b"), F.col("sp").alias("osp"), F.col("comp").alias("oc"), F.col("xn").alias("yn"), F.col("xw").alias("yw"))
     rest = placed.join(right, (F.col("token") == F.col("t2")) & (F.col("node") > F.col("b")) & (F.col("comp") != F.col("oc")) & fits("sp", "osp") & close)
+    # members of one group share its prefix, whether or not a bucket of it holds another group
+    right = own.select(F.col("grp").alias("g2"), F.col("node").alias("b"), F.col("comp").alias("oc"), F.col("xn").alias("yn"), F.col("xw").alias("yw"))
+    inner = own.join(right, (F.col("grp") == F.col("g2")) & (F.col("node") > F.col("b")) & (F.col("comp") != F.col("oc")) & close)
+    rest = rest.select("node", "b").union(inner.select("node", "b"))
     rest = rest.select(F.col("node").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti")
     more = util.written(verified(util.written(rest, "rest"), texts, n, num, den), "links")
     more = more.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")

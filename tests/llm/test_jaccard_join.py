@@ -70,3 +70,20 @@ def test_components(spark):
     chain = [(k, k + 1) for k in range(100, 160)] + [(3, 9), (9, 4), (7, 8), (2, 8)]
     got = {r.node: r.comp for r in jj.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{k: 100 for k in range(100, 161)}, 3: 3, 9: 3, 4: 3, 7: 2, 8: 2, 2: 2}
+
+
+def test_members_of_one_group(spark):
+    """Records under templates that open alike: the templates are more frequent than
+    the record, so its shingles are the prefix and no other group holds them. Only
+    the second and third are alike, neither the first nor the last of the group."""
+    rows = []
+    for g in range(4):
+        record, opening = [f"r{g}x{k}" for k in range(34)], [f"o{g}x{k}" for k in range(4)]
+        ends = {c: [*opening, *[f"{c}{g}x{k}" for k in range(66)]] for c in "xyz"}
+        ends = [ends["x"], ends["y"], [*ends["y"][:40], f"changed{g}", *ends["y"][41:]], ends["z"]]
+        for k, end in enumerate(ends):
+            rows.append((10 * g + k, " ".join(record + end)))
+            rows += [(1000 + 100 * g + 10 * k + c, " ".join([f"s{g}x{k}x{c}x{j}" for j in range(200)] + end)) for c in range(5)]
+    want = brute(rows)
+    assert {(i, c) for i, _, c in want if i != c} == {(10 * g + 2, 10 * g + 1) for g in range(4)}
+    assert rows_of(jj.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"))) == want
