@@ -39,10 +39,18 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each class of near duplicates: the one with the smallest id."""
-    classes = jaccard_join.near_duplicate_classes(docs)
-    kept = classes.where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Keeps one document of each class of near duplicates: the one with the smallest id
+    (null first), then the smallest hash of its text.
+
+    A document is what has one id and one text: repeated rows are one, rows that
+    share an id, or have none, but differ in their texts are as many as their texts.
+    """
+    docs = docs.select("*", *util.row_key(docs)).withColumn("__row", F.xxhash64("__id", "__th"))
+    classes = jaccard_join.near_duplicate_classes(docs, id_col="__row").select("__row", "component_id")
+    first = F.min(F.struct("__id", "__th", "__row")).alias("first")
+    kept = classes.join(docs.select("__row", "__id", "__th").distinct(), "__row").groupBy("component_id").agg(first)
+    kept = kept.select(F.col("first.__row").alias("__row"))
+    return docs.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

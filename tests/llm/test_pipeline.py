@@ -46,3 +46,11 @@ def test_edges(spark):
     for name, stage in cp.STAGES:
         assert stage(spark, df, "/nowhere").count() <= len(rows)
     assert language_id.UNKNOWN == "und"
+
+
+def test_near_duplicates_of_shared_ids(spark):
+    text = lambda x: " ".join(f"{x}{k}" for k in range(60))
+    rows = [(None, text("a")), (None, text("b")), (None, text("c")), (7, text("c")), (8, text("d") + " end"), (8, text("e")), (9, text("d")), (9, text("f")), (9, text("f")), (10, text("a") + " end"), (11, None)]
+    df = spark.createDataFrame([(i, t, "en", "a1", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = [(r.doc_id, r.text) for r in cp.drop_near_duplicates(spark, df, "/nowhere").collect()]
+    assert sorted(out, key=repr) == sorted([*rows[:3], *rows[4:6], rows[7], rows[10]], key=repr)
