@@ -99,7 +99,7 @@ def greedy_tokens(spark, sf_dir):
 
     def decode(k, z):
         step = lambda prefix, tokens: np.roll(z, 7 * len(tokens)) * 8
-        return Greedy(step, SPECIALS, longest=32).run([41])[0]
+        return Greedy(step, SPECIALS).run([41])[0]
 
     return s.table(spark, sf_dir, "embeddings").select("vec_id", _per_row(ArrayType(IntegerType()), decode)("vec_id", "embedding").alias("tokens"))
 

@@ -234,3 +234,14 @@ def test_encoder_states_cover_thirty_seconds(spark, sf_dir):
     model = md.Model(sizes, md.random_weights(sizes))
     for r in decoding._waves(spark, sf_dir).limit(2).collect():
         assert np.allclose(got[r.utt_id], model.encode(sg.log_mel(np.asarray(r.wave, np.float32), sizes.mels)).mean(axis=0))
+
+
+def test_greedy_tokens_run_to_the_limit(spark, sf_dir):
+    from skein.plans import decoding
+
+    got = {r.vec_id: r.tokens for r in decoding.greedy_tokens(spark, sf_dir).collect()}
+    some = decoding.s.table(spark, sf_dir, "embeddings").limit(5).collect()
+    for r in some:
+        z = np.asarray(r.embedding, np.float64)
+        assert got[r.vec_id] == ev.Greedy(lambda prefix, tokens: np.roll(z, 7 * len(tokens)) * 8, decoding.SPECIALS, longest=224).run([41])[0]
+    assert max(map(len, got.values())) > 31
