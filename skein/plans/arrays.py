@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -260,11 +263,17 @@ def trimmed_silence(spark, sf_dir):
 
 @query()
 def log_mel(spark, sf_dir):
-    """Mean and range of the log-mel spectrogram of a tone for each region."""
-    r = s.table(spark, sf_dir, "region").select("r_regionkey")
-    tone = F.transform(F.sequence(F.lit(0), F.lit(15_999)), lambda i: F.sin(i * (F.col("r_regionkey") + 1) * (2 * np.pi * 220 / 16_000)).cast("float"))
-    mel = r.select("r_regionkey", F.flatten(sg.log_mel_spectrogram(tone)).alias("m"))
-    return mel.select("r_regionkey", F.size("m").alias("n"), F.round(F.array_max("m"), 3).alias("hi"), F.round(F.array_max("m") - F.array_min("m"), 3).alias("span"))
+    """Size, highest value and range of the log-mel spectrogram of each user's signal."""
+
+    @F.pandas_udf("n int, hi float, span float")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for wave in batches:
+            mels = (sg.log_mel(np.asarray(w, np.float32)) for w in wave)
+            yield pd.DataFrame([(m.size, m.max(), m.max() - m.min()) for m in mels], columns=["n", "hi", "span"])
+
+    tone = F.transform("wave", lambda x: (x / 1000).cast("float"))
+    mel = _waves(spark, sf_dir).select("user_id", run(tone).alias("m"))
+    return mel.select("user_id", "m.n", F.round("m.hi", 3).alias("hi"), F.round("m.span", 3).alias("span"))
 
 
 @query("SELECT CAST(p AS INT) AS pos, CAST(c AS INT) AS channel, CASE WHEN c < 16 THEN sin(p * exp(-(ln(10000::DOUBLE) / 15) * (c % 16))) ELSE cos(p * exp(-(ln(10000::DOUBLE) / 15) * (c % 16))) END AS value FROM range(64) a(p), range(32) b(c)")

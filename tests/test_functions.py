@@ -245,3 +245,14 @@ def test_greedy_tokens_run_to_the_limit(spark, sf_dir):
         z = np.asarray(r.embedding, np.float64)
         assert got[r.vec_id] == ev.Greedy(lambda prefix, tokens: np.roll(z, 7 * len(tokens)) * 8, decoding.SPECIALS, longest=224).run([41])[0]
     assert max(map(len, got.values())) > 31
+
+
+def test_log_mel_of_all_users(spark, sf_dir):
+    from skein.plans import arrays
+
+    got = {r.user_id: (r.n, r.hi, r.span) for r in arrays.log_mel(spark, sf_dir).collect()}
+    waves = arrays._waves(spark, sf_dir).collect()
+    assert set(got) == {r.user_id for r in waves}
+    for r in waves[:3]:
+        mel = sg.log_mel(np.asarray(r.wave, np.float32) / 1000)
+        assert np.allclose(got[r.user_id], (mel.size, mel.max(), np.ptp(mel)), atol=2e-3)
