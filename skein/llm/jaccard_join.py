@@ -15,11 +15,12 @@ bits) and verified on whole shingle sets.
 
 Classes need no pair twice: two star rounds link each group to the leaders of
 its buckets, first those with the fewest shingles of their own, which edited
-copies have in common, and each member to the first and the last of its group; after
-them only pairs of different classes are compared, in buckets and in groups. So a
-bucket of thousands of near copies costs rows in proportion to its members, and
-still no link between classes is lost: every candidate pair is either within
-one class already or verified.
+copies have in common, and each member to the first and the last of its group. After
+them only pairs of different classes are compared, in buckets and in groups: the
+members outside a bucket's largest class with all of its members, those in blocks
+of BLOCK_ROWS. So a bucket of thousands of near copies costs rows in proportion to
+its members, no bucket is one task's work, and no link between classes is lost:
+every candidate pair is either within one class already or verified.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import util
@@ -43,6 +44,8 @@ RANGE_SHINGLES = 1_000_000
 NUM, DEN = 3, 4
 #: Bits of the filter that spares documents without candidates the way to verification; a full filter spares none.
 BLOOM_BITS = 1 << 25
+#: Members of a bucket that one task compares others with, about.
+BLOCK_ROWS = 2048
 MULT = [U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
 
 
@@ -62,10 +65,10 @@ def shingle_sets(texts: list, n: int = NGRAM) -> list:
         if len(d) >= n:
             out.append(np.unique(whole[at : at + len(d) - n + 1]))
         elif d:
-            short = U64(len(d))
+            short = np.array([len(d)], U64)
             for k in range(len(d)):
                 short = short * MULT[5] + h[at + k]
-            out.append(util.mix(np.array([short], U64) ^ MULT[6]))
+            out.append(util.mix(short ^ MULT[6]))
         else:
             out.append(np.empty(0, U64))
         at += len(d)
@@ -202,6 +205,34 @@ def _fits(a: str, b: str, num: int, den: int) -> str:
     return f"{num + den} * least({rest(a)}, {rest(b)}) >= {num} * ({size(a)} + {size(b)})"
 
 
+def _with_partner(index: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows of a bucket (token, grp, sp) but for those that no other of the bucket
+    can fit: sets alike have sizes of one class or two neighbouring ones, and
+    their sizes' sum is within what either has left from the shared shingle on.
+    Buckets are summed up by size class, so none is ever one task's rows."""
+    ratio = 1.01 * den / num
+    size, rest = F.shiftright("sp", 32), F.shiftright("sp", 32) - F.col("sp").bitwiseAND(F.lit(0xFFFFFFFF))
+    rows = index.withColumns({"__s": size, "__r": F.floor((num + den) * rest / num), "__c": F.floor(F.log(size) / F.log(F.lit(ratio)))})
+    stats = rows.groupBy("token", "__c").agg(F.count("*").alias("k"), F.min("__s").alias("s0"), F.max("__r").alias("r0"))
+    near = stats.select("token", F.explode(F.array(F.col("__c") - 1, F.col("__c"), F.col("__c") + 1)).alias("__c"), "k", "s0", "r0")
+    near = near.groupBy("token", "__c").agg(F.sum("k").alias("k"), F.min("s0").alias("s0"), F.max("r0").alias("r0")).where("k > 1")
+    return rows.join(near, ["token", "__c"]).where("least(__r, r0) >= __s + s0").select(*index.columns)
+
+
+def _apart(placed: DataFrame, fits: str, close: str) -> DataFrame:
+    """(a, b) of members (token, node, sp, comp, xn, xw) of one bucket whose classes
+    differ and that may be alike: those outside the bucket's largest class meet
+    all, which lie in blocks."""
+    by_class = placed.groupBy("token", "comp").agg(F.count("*").alias("k"))
+    mixed = by_class.groupBy("token").agg(F.sum("k").alias("c"), F.max_by("comp", "k").alias("top"), F.count("*").alias("classes")).where("classes > 1")
+    mixed = mixed.select("token", "top", F.ceil(F.col("c") / BLOCK_ROWS).alias("nb"))
+    rows = util.written(placed.join(mixed, "token"), "open")
+    every = rows.select(F.col("token").alias("t2"), F.pmod(F.xxhash64("node"), F.col("nb")).alias("b2"), F.col("node").alias("b"), F.col("sp").alias("osp"), F.col("comp").alias("oc"), F.col("xn").alias("yn"), F.col("xw").alias("yw"))
+    few = rows.where("comp <> top").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+    met = few.join(every, (F.col("token") == F.col("t2")) & (F.col("block") == F.col("b2")) & (F.col("comp") != F.col("oc")) & ((F.col("oc") == F.col("top")) | (F.col("node") > F.col("b"))) & F.expr(fits) & F.expr(close))
+    return met.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node reachable, of the nodes of edges (a, b).
 
@@ -215,17 +246,21 @@ def components(edges: DataFrame) -> DataFrame:
     while not e.isEmpty():
         both = e.union(e.select("b", "a"))
         up = both.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m")).select("c", F.least("c", "m").alias("p"))
-        up = util.written(up, "hooks")
+        up = held = util.written(up, "hooks")
         while True:
             jumped = up.join(up.select(F.col("c").alias("p"), F.col("p").alias("pp")), "p", "left").select("c", "p", F.coalesce("pp", "p").alias("q"))
             jumped = util.written(jumped, "hooks")
+            util.drop(held)
+            held = jumped
             up = jumped.select("c", F.col("q").alias("p"))
             if jumped.where("p <> q").isEmpty():
                 break
         to = up.select(F.col("c").alias("comp"), F.col("p").alias("__to"))
-        comp = util.written(comp.join(to, "comp", "left").select("node", F.coalesce("__to", "comp").alias("comp")), "comp")
+        last, comp = comp, util.written(comp.join(to, "comp", "left").select("node", F.coalesce("__to", "comp").alias("comp")), "comp")
         ends = e.join(to.withColumnsRenamed({"comp": "a", "__to": "pa"}), "a").join(to.withColumnsRenamed({"comp": "b", "__to": "pb"}), "b")
-        e = util.written(ends.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        used, e = e, util.written(ends.where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
+        util.drop(last, used, held)
+    util.drop(e)
     return comp
 
 
@@ -306,62 +341,49 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     # a set's node is the smallest id that has it
     reps = util.written(sig.where("n > 0").groupBy("s", "s2").agg(F.min("id").alias("node")), "sets")
-    bucket = Window.partitionBy("token")
-    lead = F.struct(F.xxhash64("grp"), "grp", "sp")
-    central = F.struct(F.col("sp").bitwiseAND(F.lit(0xFFFFFFFF)), F.xxhash64("grp"), "grp", "sp")
     index = scanned.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("grp"), F.col("c").alias("sp")).distinct()
-    index = index.select("*", F.min("grp").over(bucket).alias("lo"), F.max("grp").over(bucket).alias("hi"), F.min(central).over(bucket).alias("l1"), F.min(lead).over(bucket).alias("l2"))
-    flat = ["token", "grp", "sp", F.col("l1.grp").alias("g1"), F.col("l1.sp").alias("sp1"), F.col("l2.grp").alias("g2"), F.col("l2.sp").alias("sp2")]
-    buckets = util.written(index.where("lo <> hi").select(*flat), "index")
-    fits = lambda a, b: F.expr(_fits(a, b, num, den))
+    # of each bucket, one leader by place and one by group; numbers only, so that they aggregate in hash tables
+    central = F.shiftleft(F.col("sp").bitwiseAND(F.lit(0xFFFFFFFF)), 32).bitwiseOR(F.col("grp").bitwiseAND(F.lit(0xFFFFFFFF)))
+    leaders = index.groupBy("token").agg(F.min("grp").alias("g2"), F.min_by("sp", "grp").alias("sp2"), F.min_by("grp", central).alias("g1"), F.min_by("sp", central).alias("sp1"), F.max("grp").alias("hi")).where("g2 <> hi").drop("hi")
+    shared = util.written(index.join(leaders, "token"), "index")
+    fits = _fits("sp", "osp", num, den)
 
     # groups with a partner anywhere, and their members
-    other = buckets.select(F.col("token").alias("t2"), F.col("grp").alias("og"), F.col("sp").alias("osp"))
-    paired = buckets.join(other, (F.col("token") == F.col("t2")) & (F.col("grp") != F.col("og")) & fits("sp", "osp"), "left_semi")
-    buckets = util.written(paired, "buckets")
+    buckets = util.written(_with_partner(shared, num, den), "buckets")
+    util.drop(shared)
     members = scanned.where("kind = 2").select(F.col("a").alias("grp"), F.col("b").alias("s"), "n", "w").dropDuplicates(["grp", "s"])
     several = members.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select("grp")
     active = buckets.select("grp").distinct().union(several).distinct()
-    members = members.join(active, "grp").join(reps.groupBy("s").agg(F.min("node").alias("node")), "s")
-    members = util.written(members.withColumn("lead", F.min("node").over(Window.partitionBy("grp"))).withColumn("last", F.max("node").over(Window.partitionBy("grp"))).select("grp", "node", "lead", "last", "n", "w"), "members")
-    nodes = members.select("node").distinct()
-    texts = candidate_texts(rows, nodes, n)
+    members = util.written(members.join(active, "grp").join(reps.groupBy("s").agg(F.min("node").alias("node")), "s").select("grp", "node", "n", "w"), "members")
+    texts = candidate_texts(rows, members.select("node").distinct(), n)
     texts = texts.join(members.select("node").distinct(), "node", "left_semi")
-    own = reps.select("node", "s")
-    texts = util.written(texts.join(own, ["node", "s"], "left_semi").dropDuplicates(["node", "s"]).select("node", "z"), "texts")
+    texts = util.written(texts.join(reps.select("node", "s"), ["node", "s"], "left_semi").dropDuplicates(["node", "s"]).select("node", "z"), "texts")
 
     # star rounds: each group with the leaders of its buckets, each member with the first and the last of its group
-    stars = [buckets.where(F.col("grp") != F.col(g)).where(fits("sp", s)).select(F.least("grp", g).alias("x"), F.greatest("grp", g).alias("y")) for g, s in (("g1", "sp1"), ("g2", "sp2"))]
-    side = lambda p, key, node, at="lead": members.where(F.col("node") == F.col(at)).select(F.col("grp").alias(key), F.col("node").alias(node), F.col("n").alias(f"{p}n"), F.col("w").alias(f"{p}w")).dropDuplicates([key])
-    close = F.expr(_near_enough("x", "y", num, den))
-    pairs = stars[0].union(stars[1]).distinct().join(side("x", "x", "a"), "x").join(side("y", "y", "b"), "y").where(close).select("a", "b")
-    within = members.where("node <> lead").select(F.col("node").alias("a"), F.col("grp").alias("y"), F.col("n").alias("xn"), F.col("w").alias("xw")).join(side("y", "y", "b"), "y")
-    pairs = pairs.union(within.where(close).select("a", "b"))
-    within = members.where("node <> last").select(F.col("node").alias("a"), F.col("grp").alias("y"), F.col("n").alias("xn"), F.col("w").alias("xw")).join(side("y", "y", "b", "last"), "y")
-    pairs = pairs.union(within.where(close).select("a", "b"))
+    close = _near_enough("x", "y", num, den)
+    ends = members.groupBy("grp").agg(F.min("node").alias("lead"), F.max("node").alias("last"))
+    side = lambda p, node, at: ends.join(members.select(F.col("grp").alias("g"), F.col("node").alias("m"), F.col("n").alias(f"{p}n"), F.col("w").alias(f"{p}w")), (F.col("grp") == F.col("g")) & (F.col("m") == F.col(at))).select(F.col("grp").alias(p), F.col("m").alias(node), f"{p}n", f"{p}w").dropDuplicates([p])
+    stars = [buckets.where(F.col("grp") != F.col(g)).where(F.expr(_fits("sp", s, num, den))).select(F.least("grp", g).alias("x"), F.greatest("grp", g).alias("y")) for g, s in (("g1", "sp1"), ("g2", "sp2"))]
+    pairs = stars[0].union(stars[1]).distinct().join(side("x", "a", "lead"), "x").join(side("y", "b", "lead"), "y").where(close).select("a", "b")
+    for at in ("lead", "last"):
+        within = members.select(F.col("node").alias("a"), F.col("grp").alias("y"), F.col("n").alias("xn"), F.col("w").alias("xw")).join(side("y", "b", at), "y")
+        pairs = pairs.union(within.where("a <> b").where(close).select("a", "b"))
     pairs = util.written(pairs.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).where("a <> b").distinct(), "stars")
     links = util.written(verified(pairs, texts, n, num, den), "links")
     comp = components(links)
 
-    # what is left: pairs of a group or a bucket whose classes still differ
-    labelled = members.join(comp, "node", "left").select("grp", "node", F.coalesce("comp", "node").alias("comp"), "n", "w")
-    mixed = Window.partitionBy("grp")
-    own = labelled.select("*", F.min("comp").over(mixed).alias("lo"), F.max("comp").over(mixed).alias("hi")).where("lo <> hi")
-    own = util.written(own.select("grp", "node", "comp", F.col("n").alias("xn"), F.col("w").alias("xw")), "own")
-    placed = buckets.select("token", "grp", "sp").join(labelled, "grp")
-    over = Window.partitionBy("token")
-    placed = placed.select("token", "node", "sp", "comp", "n", "w", F.min("comp").over(over).alias("lo"), F.max("comp").over(over).alias("hi")).where("lo <> hi")
-    placed = util.written(placed.select("token", "node", "sp", "comp", F.col("n").alias("xn"), F.col("w").alias("xw")), "open")
-    right = placed.select(F.col("token").alias("t2"), F.col("node").alias("b"), F.col("sp").alias("osp"), F.col("comp").alias("oc"), F.col("xn").alias("yn"), F.col("xw").alias("yw"))
-    rest = placed.join(right, (F.col("token") == F.col("t2")) & (F.col("node") > F.col("b")) & (F.col("comp") != F.col("oc")) & fits("sp", "osp") & close)
-    # members of one group share its prefix, whether or not a bucket of it holds another group
-    right = own.select(F.col("grp").alias("g2"), F.col("node").alias("b"), F.col("comp").alias("oc"), F.col("xn").alias("yn"), F.col("xw").alias("yw"))
-    inner = own.join(right, (F.col("grp") == F.col("g2")) & (F.col("node") > F.col("b")) & (F.col("comp") != F.col("oc")) & close)
-    rest = rest.select("node", "b").union(inner.select("node", "b"))
-    rest = rest.select(F.col("node").alias("a"), "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    more = util.written(verified(util.written(rest, "rest"), texts, n, num, den), "links")
-    more = more.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
-    again = components(more.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    # what is left: pairs of a bucket, or of a group as one more bucket, whose classes still differ
+    labelled = members.join(comp, "node", "left").select("grp", "node", F.coalesce("comp", "node").alias("comp"), F.col("n").alias("xn"), F.col("w").alias("xw"))
+    labelled = util.written(labelled, "labelled")
+    placed = buckets.select("token", "grp", "sp").join(labelled, "grp").select("token", "node", "sp", "comp", "xn", "xw")
+    own = labelled.select(F.xxhash64("grp").alias("token"), "node", F.shiftleft("xn", 32).alias("sp"), "comp", "xn", "xw")
+    rest = _apart(placed.unionByName(own), fits, close).join(pairs, ["a", "b"], "left_anti")
+    rest = util.written(rest, "rest")
+    more = util.written(verified(rest, texts, n, num, den), "links")
+    util.drop(buckets, members, labelled, texts, pairs, links, rest)
+    between = more.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
+    again = components(between.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    util.drop(more)
     again = again.select(F.col("node").alias("comp"), F.col("comp").alias("top"))
     final = comp.join(again, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
     alone = again.join(comp.select("comp").distinct(), "comp", "left_anti").select(F.col("comp").alias("node"), F.col("top").alias("comp"))
@@ -377,4 +399,17 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(util.spread(util.table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+SQL = {
+    "op2_jaccard_join": """
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), []) AS ws FROM documents),
+sets AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) >= 5 THEN list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS s FROM w),
+reps AS (SELECT s, len(s) AS n, min(doc_id) AS node FROM sets WHERE len(s) > 0 GROUP BY s),
+tokens AS (SELECT node, n, unnest(s) AS t FROM reps),
+links AS (SELECT a.node AS a, b.node AS b FROM tokens a JOIN tokens b ON a.t = b.t AND a.node <> b.node GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach(node, seen) AS (SELECT node, node FROM reps UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen),
+classes AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
+SELECT sets.doc_id, len(sets.s) AS n_shingles, coalesce(c.component_id, sets.doc_id) AS component_id
+FROM sets LEFT JOIN reps ON reps.s = sets.s LEFT JOIN classes c ON c.node = reps.node
+"""
+}
 QUERIES = {"op2_jaccard_join": op2_jaccard_join}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -29,26 +30,65 @@ def spread(df: DataFrame) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where the cluster names none (local runs, tests) is one set here.
+    Where none is named, a local master (tests, one machine) gets a temporary
+    folder; on a cluster that would be another folder on every machine, so it raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         import tempfile
 
         named = f"file://{tempfile.gettempdir()}/skein-checkpoints"
     return named.rstrip("/")
 
 
+#: Folders of the tables written and not dropped yet.
+_tables: list = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again: cuts the
     lineage, survives the loss of executors, and is computed once. The table goes
-    when the driver ends."""
+    when `drop` or `kept_only` say so, or when the driver ends."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    folder, fs = _folder(spark, path)
+    fs.deleteOnExit(folder)
+    _tables.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def _folder(spark: SparkSession, path: str):
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
-    return spark.read.schema(df.schema).parquet(path)
+    return folder, folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    folder, fs = _folder(spark, path)
+    fs.delete(folder, True)
+    _tables.remove(path)
+
+
+def drop(*frames: DataFrame) -> None:
+    """Deletes tables of `written` that nothing reads any more."""
+    for df in frames:
+        if (path := getattr(df, "_written_at", None)) in _tables:
+            _drop(df.sparkSession, path)
+
+
+@contextmanager
+def kept_only(spark: SparkSession):
+    """Deletes, at the end of a block, every table written in it but those the
+    block appends to the list it gets. For blocks that write all they return."""
+    before, kept = set(_tables), []
+    yield kept
+    stay = before | {getattr(df, "_written_at", None) for df in kept}
+    for path in [p for p in _tables if p not in stay]:
+        _drop(spark, path)
 
 
 def row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Column]:

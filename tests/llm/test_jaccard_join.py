@@ -2,6 +2,7 @@ import random
 
 from skein.llm import jaccard_join as jj
 from skein.llm import util
+from tests.test_entry import compared
 
 
 def brute(rows):
@@ -87,3 +88,35 @@ def test_members_of_one_group(spark):
     want = brute(rows)
     assert {(i, c) for i, _, c in want if i != c} == {(10 * g + 2, 10 * g + 1) for g in range(4)}
     assert rows_of(jj.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"))) == want
+
+
+def test_shared_boilerplate(spark):
+    """Random documents of few passages, so that prefixes, groups and buckets repeat and
+    blocks are split; shuffled ids, so that leaders fall anywhere."""
+    rng = random.Random(11)
+    passages = [[f"p{g}x{k}" for k in range(rng.randrange(8, 60))] for g in range(9)]
+    rows = []
+    for _ in range(420):
+        words = [w for g in rng.sample(range(9), rng.randrange(1, 4)) for w in passages[g]]
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 5])):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(40)}"
+        rows.append((rng.randrange(10**6), " ".join(words)))
+    old, jj.BLOCK_ROWS = jj.BLOCK_ROWS, 7
+    try:
+        got = rows_of(jj.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")))
+    finally:
+        jj.BLOCK_ROWS = old
+    assert got == brute(rows)
+
+
+def test_query_against_sql(spark):
+    compared(spark, "/root/testdata/sf0.01", jj.op2_jaccard_join, jj.SQL["op2_jaccard_join"])
+
+
+def test_tables_are_dropped(spark, sf_dir):
+    before = set(util._tables)
+    with util.kept_only(spark) as kept:
+        kept.append(util.written(jj.op2_jaccard_join(spark, sf_dir), "kept"))
+    assert set(util._tables) - before == {kept[0]._written_at} and kept[0].count() == 200
+    util.drop(kept[0])
+    assert set(util._tables) == before
