@@ -80,14 +80,14 @@ NAMES = (
     ("zlib", "zlib", "zlib(?: libpng)? license"),
     ("libpng", "libpng", "libpng license"),
     ("python-2.0", "python software foundation", "python software foundation license(?: version 2)?"),
-    ("php-3.01", "php license", "php license(?: version)?(?: 3 01)?"),
-    ("ruby", "ruby license", "ruby license"),
+    ("php-3.01", "php licen", "php license(?: version)?(?: 3 01)?"),
+    ("ruby", "ruby licen", "ruby license"),
     ("postgresql", "postgresql", "postgresql license"),
     ("openssl", "openssl", "openssl license"),
     ("unlicense", "unlicense", "(?:the )?unlicense"),
     ("wtfpl", "do what the", "do what the f\\S* you want to public license"),
     ("beerware", "beerware", "beerware license"),
-    ("json", "json license", "json license"),
+    ("json", "json licen", "json license"),
     ("ncsa", "ncsa", "(?:university of illinois )?ncsa open source license"),
     ("upl-1.0", "universal permissive", "universal permissive license(?: version| v)?(?: 1 0)?"),
     ("ms-pl", "microsoft public", "microsoft public license"),
@@ -99,14 +99,14 @@ NAMES = (
     ("cecill-2.1", "cecill", "cecill(?: license)?(?: version)? 2 1"),
     ("cecill", "cecill", "cecill license"),
     ("mulan-psl-2.0", "mulan", "mulan permissive software license(?: version| v)?(?: ?v?2)?"),
-    ("vim", "vim license", "vim license"),
+    ("vim", "vim licen", "vim license"),
     ("w3c", "w3c", "w3c software(?: notice and)? license"),
     ("lppl-1.3c", "latex project", "latex project public license(?: version)?(?: 1 3c?)?"),
     ("qpl-1.0", "q public", "q public license(?: version)?(?: 1 0)?"),
     ("sleepycat", "sleepycat", "sleepycat license"),
     ("hpnd", "historical permission", "historical permission notice and disclaimer"),
     ("openrail-m", "openrail", "(?:bigscience )?openrail m(?: license)?"),
-    ("rail-1.0", "rail license", "(?:bigscience )?rail license(?: v?1 0)?"),
+    ("rail-1.0", "rail licen", "(?:bigscience )?rail license(?: v?1 0)?"),
     ("llama-2", "llama 2", "llama 2 community license(?: agreement)?"),
     ("llama-3", "llama 3", "llama 3 community license(?: agreement)?"),
     ("ccdl", "community data", "community data license agreement (?:permissive|sharing)(?: version)?(?: [12] 0)?"),
@@ -123,9 +123,8 @@ NOTICES = (
     ("bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("zlib", "this software is provided", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
     ("unlicense", "released into the public domain", "this is free and unencumbered software released into the public domain"),
-    ("boost", "permission is hereby granted", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("bsl-1.0", "permission is hereby granted", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation"),
     ("gpl", "free software foundation", "under the terms of the gnu general public license as published by the free software foundation"),
-    ("proprietary", "all rights reserved", "all rights reserved"),
     ("public-domain", "public domain", "(?:dedicated to|released into|in) the public domain"),
 )
 CC_PARTS = ("by", "by sa", "by nd", "by nc", "by nc sa", "by nc nd")
@@ -138,26 +137,35 @@ IDENTIFIERS = (
     "artistic-1.0", "artistic-2.0", "zlib", "python-2.0", "php-3.01", "postgresql", "openssl", "unlicense", "wtfpl", "ncsa", "upl-1.0", "ms-pl", "ms-rl", "ofl-1.1", "odbl-1.0", "pddl-1.0", "cecill-2.1",
     "lppl-1.3c", "cc0-1.0", "x11", "vim", "w3c", "json", "beerware",
 )
+#: A notice that licensed texts open with too: it labels only texts in which nothing else is found.
+RESERVED = ("proprietary", "all rights reserved", "all rights reserved")
 TAG, GRANT, MENTION = 3, 2, 1
 SCORES = {TAG: 1.0, GRANT: 0.9, MENTION: 0.6}
-GRANTED = "(?:licensed|released|distributed|available|published|provided|made available)(?: to you)? under(?: the terms of)?(?: the| a| an)? "
+GRANTED = "(?:licen[cs]ed|released|distributed|available|published|provided|made available)(?: to you)? under(?: the terms of)?(?: the| a| an)? "
 #: A document without any of these holds no rule's keyword.
 STEMS = ("licen", "spdx", "creative", "cc by", "cc0", "gpl", "permission", "redistribution", "public domain", "all rights reserved", "this software is provided", "free software foundation", "historical", "bsd", "mit no", "cecill", "openrail")
 
 
+def _tagged(words: str) -> str:
+    """An identifier as a tag's first, or within the tag's next words after `or` or
+    `and`. The words come before the look behind, which so runs only where they stand."""
+    end = "(?: only| or later)?"
+    return f"spdx license identifier {words}{end}|{words}(?<=spdx license identifier [a-z0-9 ]{{1,48}} (?:or|and) {words}){end}"
+
+
 def rules() -> list:
     """(label, keyword, expression, priority), in order."""
     out = []
     for tag in IDENTIFIERS:
         words = tag.replace("-", " ").replace(".", " ")
-        out.append((tag, "spdx", f"spdx license identifier {words}(?: only| or later)?", TAG))
+        out.append((tag, "spdx", _tagged(words), TAG))
     for parts in CC_PARTS:
         label = "cc-" + parts.replace(" ", "-")
         spelled = " ".join(CC_WORDS[p] for p in parts.split())
         for v in CC_VERSIONS:
             name = f"{label}-{v.replace(' ', '.')}"
             out += [
-                (name, "spdx", f"spdx license identifier cc {parts} {v}", TAG),
+                (name, "spdx", _tagged(f"cc {parts} {v}"), TAG),
                 (name, "creativecommons", f"creativecommons org licenses {parts} {v}", TAG),
                 (name, "cc by", f"{GRANTED}cc {parts} {v}(?: license)?", GRANT),
                 (name, "cc by", f"cc {parts} {v}(?: license)?", MENTION),
@@ -165,9 +173,11 @@ def rules() -> list:
                 (name, "creative commons", f"{GRANTED}creative commons {spelled} {v}(?: international| unported| generic)?(?: license)?", GRANT),
             ]
         out += [(label, "cc by", f"cc {parts}(?: license)?", MENTION), (label, "creative commons", f"creative commons {spelled}(?: license)?", MENTION)]
-    for label, keyword, name in NAMES:
+    for label, keyword, spelled in NAMES:
+        name = spelled.replace("license", "licen[cs]e")
         out += [(label, keyword, f"{GRANTED}{name}", GRANT), (label, keyword, name, MENTION)]
     out += [(label, keyword, body, GRANT) for label, keyword, body in NOTICES]
+    out.append((*RESERVED, MENTION))
     return out
 
 
@@ -199,10 +209,12 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     detections: the kept detections as (first, past, label, priority), by place.
     Base phrases count wherever their words stand; their labels always stay. The
     score is that of the surest kept detection, or 0.6 for a base phrase alone.
+    `proprietary` ("all rights reserved") is kept only where nothing else is.
     Null and empty texts: no words, no labels, null places, score 0. Every row is
     judged by itself, so ties, repeated rows, nulls elsewhere and empty tables
     need no rule.
     """
+    docs, restored = util.shielded(docs)
     table = rules()
     literal = ", ".join(f"named_struct('l', {_literal(l)}, 'k', {_literal(k)}, 'r', {_literal(r)}, 'p', {p}, 'o', {o})" for o, (l, k, r, p) in enumerate(table))
     own = docs.withColumn("__w", words_of(docs[text_col]))
@@ -226,12 +238,14 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
         'n', if(-d.e <= (CASE d.p WHEN -1 THEN k.a WHEN -2 THEN k.b ELSE k.c END), k.n,
                 concat(k.n, array(named_struct('first', d.s, 'past', -d.e, 'label', d.l, 'priority', -d.p)))))"""
     own = own.withColumn("detections", F.expr(f"if(__all IS NULL OR size(__all) = 0, cast(array() as array<struct<first: int, past: int, label: string, priority: int>>), aggregate(__all, {reach}, {step}, k -> k.n))"))
+    other = f"x -> x.label <> '{RESERVED[0]}'"
+    own = own.withColumn("detections", F.expr(f"if(exists(detections, {other}), filter(detections, {other}), detections)"))
     none = F.coalesce(F.size("__base"), F.lit(0)) < 1
     base_labels = F.expr("array_sort(array_distinct(transform(__base, x -> x.l)))")
     labels = F.expr("array_sort(array_union(coalesce(transform(__base, x -> x.l), array()), transform(detections, x -> x.label)))")
     sure = F.expr("array_max(transform(detections, x -> x.priority))")
     score = F.when(sure == TAG, SCORES[TAG]).when(sure == GRANT, SCORES[GRANT]).when((sure == MENTION) | ~none, SCORES[MENTION]).otherwise(0.0)
-    return own.withColumns(
+    out = own.withColumns(
         {
             "n_words": n_words,
             "n_base": F.when(none, 0).otherwise(F.size("__base")).cast("long"),
@@ -241,7 +255,8 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "labels": F.array_join(labels, ","),
             "score": score.cast("double"),
         }
-    ).drop("__w", "__l", "__gate", "__base", "__all")
+    )
+    return restored(out.drop("__w", "__l", "__gate", "__base", "__all"))
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,6 +91,19 @@ def kept_only(spark: SparkSession):
         _drop(spark, path)
 
 
+def shielded(df: DataFrame):
+    """(df, restore): columns that begin like the operators' own (two low lines) go
+    by other names until restore gives a result's columns their names back."""
+    names: dict = {}
+    for c in df.columns:
+        if c.startswith("__"):
+            other = f"in{c}"
+            while other.lower() in {x.lower() for x in (*df.columns, *names.values())}:
+                other = f"in_{other}"
+            names[c] = other
+    return df.withColumnsRenamed(names), lambda out: out.withColumnsRenamed({v: k for k, v in names.items()})
+
+
 def row_key(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
     """(__id, __th): what tells rows apart. Repeated rows share a key and so a
     result; rows that share an id but not a text do not."""

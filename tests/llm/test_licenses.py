@@ -1,5 +1,7 @@
 import re
 
+import regex
+
 from skein.llm import licenses as ls
 from skein.llm import util
 
@@ -14,7 +16,7 @@ def brute(text):
     found = []
     for o, (label, keyword, body, priority) in enumerate(ls.rules()):
         if keyword in padded:
-            for m in re.finditer(f"(?<= )({body})(?= )", padded):
+            for m in regex.finditer(f"(?<= )({body})(?= )", padded):
                 s = padded[: m.start()].count(" ") - 1
                 found.append((s, s + m[0].count(" ") + 1, priority, o, label))
     kept = []
@@ -23,6 +25,7 @@ def brute(text):
         inside = [x for x in inside if (x[0], x[1]) != (d[0], d[1]) or x[2] > d[2] or x[3] < d[3]]
         if not inside:
             kept.append(d)
+    kept = [d for d in kept if d[4] != "proprietary"] or kept
     labels = sorted({x[4] for x in kept} | {x for _, x in base})
     best = max([d[2] for d in kept], default=1 if base else 0)
     score = ls.SCORES.get(best, 0.0)
@@ -66,6 +69,25 @@ def test_texts_and_edges(spark):
     assert ls.scan_licenses(df.where("false")).count() == 0
 
 
+def test_expressions_spellings_and_reserved_rights(spark):
+    texts = {
+        "SPDX-License-Identifier: MIT OR Apache-2.0": "apache-2.0,mit",
+        "SPDX-License-Identifier: (GPL-2.0-only AND BSD-3-Clause) OR ISC, by us": "bsd-3-clause,gpl-2.0,isc",
+        "SPDX-License-Identifier: MIT. This library goes well with pumps and pipes, with the zlib and others, or X11": "mit",
+        "Released under the Boost Software Licence, version 1.0": "bsl-1.0",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation": "bsl-1.0",
+        "Copyright X. All rights reserved. Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd",
+        "Copyright X. All rights reserved.": "proprietary",
+        "the PHP licence 3.01": "php-3.01",
+    }
+    df = spark.createDataFrame([(t, "w") for t in texts], "text string, __w string")
+    out = ls.scan_licenses(df)
+    assert {r.text: r.labels for r in out.collect()} == texts
+    assert out.columns[:2] == ["text", "__w"] and {r["__w"] for r in out.collect()} == {"w"}
+    for r in out.collect():
+        assert tuple(r[c] for c in COLUMNS[:-1]) == brute(r.text)[:-1], r.text
+
+
 def test_no_python_and_no_shuffle_in_the_plan(spark, sf_dir):
     plan = ls.op1_license_scan(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Pandas", "Exchange"))
