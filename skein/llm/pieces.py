@@ -30,7 +30,7 @@ SPACE = "▁"
 #: Stands for the text's own U+2581; no valid text holds a lone surrogate.
 OWN = "\ud800"
 SEGMENT = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
-#: Segments up to this length share vector operations; longer ones are filtered in windows of their own.
+#: Sums of segments up to this length stay in range as they are; longer ones are kept in logarithms.
 LONG, SLICE_CHARS = 40, 1 << 20
 #: Weights grow by this for each character, which changes no conditional probability but keeps sums in range.
 GROWTH = 1e4
@@ -168,10 +168,11 @@ class Lattice:
 
     Segments are ranked by falling length and nodes numbered place by place, so
     the nodes of one place, and the edges into them, are one run: a forward step
-    handles all segments at once.
+    handles all segments at once. logs: sums are kept in logarithms, for segments
+    of any length.
     """
 
-    def __init__(self, vocabulary: Vocabulary, segments: list):
+    def __init__(self, vocabulary: Vocabulary, segments: list, logs: bool = False):
         size = np.fromiter(map(len, segments), np.int64, len(segments))
         order = np.argsort(-size, kind="stable")
         self.rank = np.empty(len(size), np.int64)
@@ -187,7 +188,8 @@ class Lattice:
         by = np.argsort(target * 64 + (63 - (end - start)))
         self.source, target, self.token, end = source[by], target[by], token[by], end[by]
         weight = vocabulary.weights(self.token)
-        total = np.ones(int(alive.sum()))
+        total = np.zeros(int(alive.sum())) if logs else np.ones(int(alive.sum()))
+        weight = np.log(weight) if logs else weight
         cut = np.searchsorted(end, np.arange(1, longest + 2))
         share = np.empty(len(end))
         first = np.flatnonzero(np.append(True, target[1:] != target[:-1])) if len(target) else np.empty(0, np.int64)
@@ -196,10 +198,17 @@ class Lattice:
         self.first[int(alive[0]) if len(alive) else 0 : len(total)] = first
         for p in range(1, longest + 1):
             a, b = cut[p - 1], cut[p]
-            share[a:b] = total[self.source[a:b]] * weight[a:b]
             nodes = slice(self.base[p], self.base[p] + alive[p])
-            total[nodes] = np.add.reduceat(share[a:b], self.first[nodes] - a)
-        share /= total[target]
+            runs = self.first[nodes] - a
+            if not logs:
+                share[a:b] = total[self.source[a:b]] * weight[a:b]
+                total[nodes] = np.add.reduceat(share[a:b], runs)
+                continue
+            x = total[self.source[a:b]] + weight[a:b]
+            most = np.maximum.reduceat(x, runs)
+            spread = np.exp(x - np.repeat(most, np.diff(np.append(runs, b - a))))
+            share[a:b], total[nodes] = x, most + np.log(np.add.reduceat(spread, runs))
+        share = np.exp(share - total[target]) if logs else share / total[target]
         run = np.cumsum(share)
         self.upto = run - np.append(0, run)[self.first[target]]
         last = np.append(target[1:] != target[:-1], True) if len(target) else np.empty(0, bool)
@@ -235,29 +244,6 @@ class Lattice:
         return out, count
 
 
-def sample_long(vocabulary: Vocabulary, segment: str, key: int) -> list:
-    """As Lattice, for one segment of any length, with sums kept in logarithms."""
-    seg, start, end, token = vocabulary.edges([segment])
-    logs = np.log(vocabulary.weights(token))
-    order = np.argsort(end, kind="stable")
-    cut = np.searchsorted(end[order], np.arange(1, len(segment) + 2))
-    total = np.full(len(segment) + 1, -np.inf)
-    total[0] = 0
-    for p in range(1, len(segment) + 1):
-        e = order[cut[p - 1] : cut[p]]
-        x = total[start[e]] + logs[e]
-        total[p] = x.max() + np.log(np.exp(x - x.max()).sum())
-    u = _draws(np.full(len(segment) + 1, key, U64), np.arange(len(segment) + 1))
-    p, out = len(segment), []
-    while p:
-        e = order[cut[p - 1] : cut[p]]
-        run = np.cumsum(np.exp(total[start[e]] + logs[e] - total[p]))
-        pick = e[min(int(np.searchsorted(run, u[p] * run[-1], "right")), len(e) - 1)]
-        out.append(int(token[pick]))
-        p = int(start[pick])
-    return out[::-1]
-
-
 def encode_texts(vocabulary: Vocabulary, texts: list, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts, how many each text has). Every text gets one leading space."""
     find = vocabulary.segments
@@ -272,21 +258,18 @@ def encode_texts(vocabulary: Vocabulary, texts: list, keys: np.ndarray) -> tuple
     at = np.arange(len(flat)) - (np.cumsum(n) - n)[doc]
     key = util.mix(keys.astype(U64)[doc] + util.mix(at.astype(U64)))
     long = np.fromiter((len(s) > LONG for s in names), bool, len(names))
-    lattice = Lattice(vocabulary, ["" if x else s for s, x in zip(names, long)])
     is_long = long[codes]
-    short = np.flatnonzero(~is_long)
-    token, count_short = lattice.sample(codes[short], key[short])
     count = np.zeros(len(flat), np.int64)
-    count[short] = count_short
-    extra = {}
-    for k in np.flatnonzero(is_long).tolist():
-        extra[k] = sample_long(vocabulary, names[codes[k]], int(key[k]))
-        count[k] = len(extra[k])
+    parts = []
+    for logs in (False, True):
+        own = np.flatnonzero(is_long == logs)
+        if len(own):
+            lattice = Lattice(vocabulary, [s if x == logs else "" for s, x in zip(names, long)], logs)
+            token, count[own] = lattice.sample(codes[own], key[own])
+            parts.append((logs, token))
     every = np.empty(int(count.sum()), np.int64)
-    where = np.cumsum(count) - count
-    every[np.repeat(~is_long, count)] = token
-    for k, tokens in extra.items():
-        every[where[k] : where[k] + len(tokens)] = tokens
+    for logs, token in parts:
+        every[np.repeat(is_long == logs, count)] = token
     ids, spelled = vocabulary.expand(every)
     of = np.repeat(doc, count)
     return ids, np.bincount(of, spelled, len(texts)).astype(np.int64)

@@ -37,11 +37,39 @@ def test_samples_follow_exact_probabilities(vocabulary):
     tokens, count = lattice.sample(np.ones(n, np.int64), util.mix(np.arange(n).astype(np.uint64)))
     end = np.cumsum(count)
     got = collections.Counter(tuple(tokens[e - c : e].tolist()) for e, c in zip(end, count))
-    long = collections.Counter(tuple(sp.sample_long(vocabulary, s, k * 7919)) for k in range(3000))
+    tokens, count = sp.Lattice(vocabulary, ["x", s, "long" * 50], logs=True).sample(np.ones(n, np.int64), util.mix(np.arange(n).astype(np.uint64) + np.uint64(n)))
+    end = np.cumsum(count)
+    long = collections.Counter(tuple(tokens[e - c : e].tolist()) for e, c in zip(end, count))
     assert set(got) <= {t for t, _ in every}
     for t, w in every:
         assert abs(got[t] / n - w / total) < 0.012
-        assert abs(long[t] / 3000 - w / total) < 0.04
+        assert abs(long[t] / n - w / total) < 0.012
+
+
+def test_long_segments_by_brute_force(vocabulary):
+    """Each token's share at each place against sums over all segmentations, for a
+    segment whose sums need logarithms, and the same draws as without them."""
+    s = "abab" * 30
+    normal = {p: i for i, (p, _, k) in enumerate(PIECES) if k == "n"}
+    fore, back = [1.0] + [0.0] * len(s), [0.0] * len(s) + [1.0]
+    step = lambda a, b: vocabulary.weight[normal[s[a:b]]] / sp.GROWTH ** (b - a) * 30 ** (b - a) if s[a:b] in normal else 0.0
+    for b in range(1, len(s) + 1):
+        fore[b] = sum(fore[a] * step(a, b) for a in range(max(0, b - vocabulary.longest), b))
+    for a in range(len(s) - 1, -1, -1):
+        back[a] = sum(step(a, b) * back[b] for b in range(a + 1, min(len(s), a + vocabulary.longest) + 1))
+    assert abs(fore[-1] / back[0] - 1) < 1e-9
+    n = 20_000
+    tokens, count = sp.Lattice(vocabulary, [s], logs=True).sample(np.zeros(n, np.int64), util.mix(np.arange(n).astype(np.uint64)))
+    size = np.array([len(vocabulary.text[t].decode()) for t in tokens.tolist()])
+    end = np.cumsum(size)
+    assert end[-1] == n * len(s)
+    borders = np.bincount(end % len(s), minlength=len(s)) / n
+    for p in range(1, len(s)):
+        assert abs(borders[p] - fore[p] * back[p] / fore[-1]) < 0.02
+    short = "▁abab"
+    key = util.mix(np.arange(500).astype(np.uint64))
+    a, b = (sp.Lattice(vocabulary, [short], logs=x).sample(np.zeros(500, np.int64), key)[0] for x in (False, True))
+    assert np.array_equal(a, b)
 
 
 def test_query_is_lossless_and_reproducible(spark, sf_dir):
