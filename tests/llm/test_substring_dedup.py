@@ -5,6 +5,7 @@ from collections import Counter
 
 from skein.llm import substring_dedup as sd
 from skein.llm import util
+from tests.test_entry import compared
 
 
 def brute(rows, window=35):
@@ -51,3 +52,7 @@ def test_edges(spark):
     assert got == brute(rows)
     assert all(sum(s["to"] - s["from"] for s in r.removed) == r.n_removed for r in out)
     assert sd.substring_dedup(df.where("false")).count() == 0
+
+
+def test_query_against_sql(spark):
+    compared(spark, "/root/testdata/sf0.01", sd.op4_substring_dedup, sd.SQL["op4_substring_dedup"])
