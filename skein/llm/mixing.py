@@ -76,8 +76,10 @@ def mix(docs: DataFrame, levels=LEVELS, weights=WEIGHTS, budget_percent: int = B
     tokens), the documents while their tokens' running sum is within what is
     left. Null levels are values of their own; a null id is ordered as an empty
     string; repeated rows are taken one by one; documents without tokens
-    come free, within the prefix. An empty table gives an empty result.
+    come free, within the prefix. An empty table gives an empty result. Other columns
+    pass through; one named `copies` is replaced.
     """
+    docs, restored = util.shielded(docs.drop("copies"))
     leaves = docs.groupBy(*levels).agg(F.sum("n_tokens").cast("long").alias("tokens"), F.count("*").alias("__n"))
     leaves = util.written(leaves, "leaves")
     plan = allocate(leaves, levels, weights, budget_percent, max_epochs)
@@ -101,15 +103,22 @@ def mix(docs: DataFrame, levels=LEVELS, weights=WEIGHTS, budget_percent: int = B
     order = Window.partitionBy(*names).orderBy("__key", id_col, "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     part = both.where(F.col("__b") == F.col("__eb")).withColumn("__run", F.sum("n_tokens").over(order))
     part = part.withColumn("copies", F.col("__e") + F.when(F.col("__run") <= F.col("__left"), 1).otherwise(0))
-    return whole.select(*keep).unionByName(part.select(*keep)).where("copies > 0")
+    return restored(whole.select(*keep).unionByName(part.select(*keep)).where("copies > 0"))
 
 
 def count_tokens(text):
-    """Words between white space (space and U+0009 to U+000D); 0 for null."""
+    """Words between white space (space and U+0009 to U+000D); 0 for null, empty and blank texts."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def tokens_by_leaf(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_sql: str = DOMAIN_SQL) -> DataFrame:
+    """(id, domain, lang, source, n_tokens) of every row of docs, as a written table.
+
+    Null and empty texts have 0 tokens; a null source is of the domain that
+    domain_sql names, null languages and sources stay null; repeated rows stay; an
+    empty table gives an empty one. Only the id, text, lang and source and what
+    domain_sql names are read, so other columns can't clash.
+    """
     light = docs.select(id_col, F.expr(domain_sql).alias("domain"), "lang", "source", count_tokens(F.col(text_col)).alias("n_tokens"))
     return util.written(light, "tokens")
 

@@ -40,6 +40,13 @@ def test_weights_and_epochs(spark):
     assert other != again and sum(other.values()) == 25
 
 
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(k, "web", "en", "s1", 10, "c", k) for k in range(10)], "doc_id long, domain string, lang string, source string, n_tokens long, copies string, __b int")
+    out = mx.mix(docs, budget_percent=250, max_epochs=5)
+    assert out.columns == ["doc_id", "domain", "lang", "source", "n_tokens", "__b", "copies"]
+    assert sum(r.copies for r in out.collect()) == 25 and all(r["__b"] == r.doc_id for r in out.collect())
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(1, None, "a b c", None, 1), (None, "en", None, "s1", 2), (3, "en", "", "s2", 3), (4, "en", "x y", "s2", 4), (4, "en", "x y", "s2", 4)], "doc_id long, lang string, text string, source string, copies int")
     light = mx.tokens_by_leaf(docs)
