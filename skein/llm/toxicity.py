@@ -26,6 +26,8 @@ GRADES = 3
 #: Labelled rows fitted on, of each grade at most; rows stand for their grade's share.
 SAMPLE_OF_GRADE = (3000, 1000, 1000)
 DIMS = 1 << 20
+#: Distinct words read of a document that is fitted on, at most: those of the smallest hashes. Scoring reads all.
+SAMPLE_WORDS = 4000
 #: Features kept: those whose presence differs between toxic and other rows by so many standard errors.
 LEAST_Z, MAX_FEATURES = 2.5, 20_000
 STEPS, RIDGE = 300, 1e-4
@@ -131,9 +133,12 @@ def fit_rows(rows: list, share: np.ndarray) -> Model:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_sql: str = GRADE_SQL) -> Model:
     """Fits on a sample of labelled rows bounded by SAMPLE_OF_GRADE, drawn by a
-    hash of the id. Rows without a grade, an id or a text are not drawn."""
+    hash of the id, and on at most SAMPLE_WORDS words of each. Rows without a grade,
+    an id or a text are not drawn; of an id's contradictory grades the most severe
+    counts; of rows that share an id, each is a document with its grade."""
     spark = docs.sparkSession
     graded = labels.select(F.col(id_col).cast("long").alias("__id"), F.expr(grade_sql).alias("__y")).where("__id IS NOT NULL AND __y IS NOT NULL")
+    graded = graded.groupBy("__id").agg(F.max("__y").alias("__y"))
     n = dict(map(tuple, graded.groupBy("__y").agg(F.count("*")).collect()))
     if not n:
         return fit_rows([], np.ones(GRADES))
@@ -141,7 +146,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     limit = [min(1.0, 1.3 * SAMPLE_OF_GRADE[k] / n[k]) if k in n else 0.0 for k in range(GRADES)]
     drawn = drawn.where(" OR ".join(f"(__y = {k} AND __r < {int(x * (1 << 30))})" for k, x in enumerate(limit)))
     # at most 1.3 times the sample, give or take chance; then cut to the sample
-    few = drawn.select("__id", "__y", "__r").toPandas().sort_values(["__r", "__id"]).drop_duplicates("__id")
+    few = drawn.select("__id", "__y", "__r").toPandas().sort_values(["__r", "__id"])
     few = few[few.groupby("__y").cumcount() < few["__y"].map(dict(enumerate(SAMPLE_OF_GRADE)))]
     share = np.array([n.get(k, 0) / max(1, (few["__y"] == k).sum()) for k in range(GRADES)])
     ids = F.broadcast(spark.createDataFrame(few[["__id", "__y"]].astype("int64")))  # as many rows as the sample
@@ -152,7 +157,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             number = word_features(names)
             y = batch.column(2).slice(a, b - a).to_pylist()
             cut = np.searchsorted(doc, np.arange(b - a + 1))
-            found = [number[word[cut[k] : cut[k + 1]]].ravel() for k in range(b - a)]
+            own = [word[cut[k] : cut[k + 1]] for k in range(b - a)]
+            found = [number[w if len(w) <= SAMPLE_WORDS else w[np.argsort(util.hash_words([names[k] for k in w]), kind="stable")[:SAMPLE_WORDS]]].ravel() for w in own]
             yield pa.record_batch([pa.array(y, pa.int64()), pa.array([f[f > 0].astype(np.int32).tobytes() for f in found], pa.binary())], names=["y", "f"])
 
     got = rows.select("__id", "__t", "__y").mapInArrow(util.lean(features), "y long, f binary").toArrow()

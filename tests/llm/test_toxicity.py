@@ -38,5 +38,10 @@ def test_edges(spark):
     labels = spark.createDataFrame([(1, 1, 1), (2, None, None), (None, 1, 0), (3, 0, 0), (77, 1, 1)], "doc_id long, quality int, toxic int").withColumn("toxic2", util.F.lit(1))
     model = tx.fit(docs, labels)
     assert tx.severity(docs, model).count() == 6
+    # contradictory grades: the most severe one counts, in whatever order the rows come
+    twice = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    few = spark.createDataFrame([(1, "bad words here"), (2, "fine words here")], "doc_id long, text string")
+    models = [tx.fit(few, t) for t in (twice, twice.orderBy("toxic"), twice.where("doc_id = 2 OR toxic = 1"))]
+    assert all(np.array_equal(m.weights, models[0].weights) and np.array_equal(m.cuts, models[0].cuts) for m in models)
     assert all(not r.toxic for r in tx.severity(docs, tx.fit(docs, labels.where("false"))).collect())
     assert tx.severity(docs.where("false"), model).count() == 0
