@@ -3,8 +3,10 @@ the whole corpus, later occurrences removed by merging the positions they cover.
 
 DataFrame functions only. The windows travel as two 64-bit hashes and a
 position; counts combine before the shuffle, so a window that a third of all
-rows hold costs one row a task there, and the join back is one that adaptive
-execution can split.
+rows hold costs one row a task there. Repeated windows and covered positions are
+written first and joined by merging at every size, so that adaptive execution can
+split the joins back; the texts are shuffled once, as they are, and split into
+lines again after the join.
 """
 
 from __future__ import annotations
@@ -26,14 +28,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Null text: 0 lines, stays null. Empty text: one empty line. Fewer lines than
     a window: unchanged. All lines covered: the text becomes empty. Rows equal in
     id and text are one occurrence and keep the same lines. Empty tables give
-    empty tables; other columns pass through.
+    empty tables; other columns pass through, whatever their names.
     """
+    docs, restored = util.shielded(docs.drop("n_lines", "n_removed"))
     own = util.row_key(docs, id_col, text_col)
-    src = docs.select("*", *own, F.split(docs[text_col], "\n", -1).alias("__ls"))
+    split = F.split(docs[text_col], "\n", -1).alias("__ls")
+    src = docs.select("*", *own)
     last = window - 1
     lines = ", ".join(f"__ls[i + {k}]" for k in range(window))
     win = (
-        src.where(F.size("__ls") >= window)
+        docs.select(*own, split)
+        .where(F.size("__ls") >= window)
         .select(
             "__id",
             "__th",
@@ -48,14 +53,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     place = F.struct("__id", "__th", "__p")
     repeated = win.groupBy("__a", "__b").agg(F.count("*").alias("__n"), F.min(place).alias("__first")).where("__n > 1")
+    repeated = util.written(repeated.select("__a", "__b", "__first"), "repeated")
     covered = (
-        win.join(repeated, ["__a", "__b"])
+        win.join(repeated.hint("merge"), ["__a", "__b"])
         .where(place != F.col("__first"))
         .groupBy("__id", "__th")
         .agg(F.sort_array(F.collect_set("__p")).alias("__ps"))
         .select(F.col("__id").alias("__i2"), F.col("__th").alias("__t2"), "__ps")
     )
-    joined = src.join(covered, F.col("__id").eqNullSafe(F.col("__i2")) & F.col("__th").eqNullSafe(F.col("__t2")), "left")
+    covered = util.written(covered, "covered")
+    util.drop(repeated)
+    joined = src.join(covered.hint("merge"), F.col("__id").eqNullSafe(F.col("__i2")) & F.col("__th").eqNullSafe(F.col("__t2")), "left").withColumn("__ls", F.split(text_col, "\n", -1))
     # covered positions merge to intervals [start, end); what lies between them stays
     starts = f"filter(__ps, (p, i) -> i = 0 OR p > __ps[i - 1] + {window})"
     ends = f"transform(filter(__ps, (p, i) -> i = size(__ps) - 1 OR __ps[i + 1] > p + {window}), p -> p + {last + 1})"
@@ -68,13 +76,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     n_lines = F.when(F.col("__ls").isNull(), 0).otherwise(F.size("__ls")).cast("long")
     n_kept = F.when(F.col("__kept").isNull(), 0).otherwise(F.size("__kept")).cast("long")
-    return kept.withColumns(
+    out = kept.withColumns(
         {
             text_col: F.when(F.col("__ps").isNull(), F.col(text_col)).otherwise(F.array_join("__kept", "\n")),
             "n_lines": n_lines,
             "n_removed": n_lines - n_kept,
         }
-    ).drop("__id", "__th", "__ls", "__i2", "__t2", "__ps", "__kept")
+    )
+    return restored(out.drop("__id", "__th", "__ls", "__i2", "__t2", "__ps", "__kept"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

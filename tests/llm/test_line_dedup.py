@@ -32,7 +32,10 @@ def test_against_brute_force_and_edges(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"n_lines": util.F.lit("x"), "pos": util.F.lit(1)})
     out = ld.line_dedup(df)
     assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in out.collect()} == brute(rows)
-    assert out.columns == ["doc_id", "text", "n_lines", "pos", "n_removed"]
+    assert out.columns == ["doc_id", "text", "pos", "n_lines", "n_removed"]
+    clash = ld.line_dedup(df.withColumns({"__id": util.F.lit("i"), "__LS": util.F.lit(2)}))
+    assert clash.columns == ["doc_id", "text", "pos", "__id", "__LS", "n_lines", "n_removed"]
+    assert {r.doc_id: r.text for r in clash.collect()} == {r.doc_id: r.text for r in out.collect()}
     twice = ld.line_dedup(df.union(df)).collect()
     assert sorted(map(repr, twice)) == sorted(2 * list(map(repr, out.collect())))
     assert ld.line_dedup(df.where("false")).count() == 0
