@@ -162,7 +162,8 @@ def within_radius(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows = fps.select("fp").mapInArrow(spread, "k long, key long, fp binary")
     rows = util.written(rows, "tables")
     counts = rows.groupBy("k", "key").agg(F.count("*").alias("c")).where("c > 1").select("k", "key", F.ceil(F.col("c") / BLOCK_ROWS).alias("nb"))
-    rows = rows.join(counts, ["k", "key"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("nb")))
+    counts = util.written(counts, "entries")  # read from a table, so that a hot entry's rows can be split in the join
+    rows = rows.join(counts.hint("merge"), ["k", "key"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("nb")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
     rows = rows.select("k", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp")
     key = ["k", "key", "i", "j"]
@@ -242,10 +243,11 @@ def document_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
     empty result; other columns aren't read.
     """
     out = util.written(with_next(docs, id_col, text_col), "fingerprints")
-    classes = out.groupBy("fp").agg(F.min("id").alias("class_id"))
-    near = within_radius(classes, radius)
+    classes = util.written(out.groupBy("fp").agg(F.min("id").alias("class_id")), "classes")
+    # a table of its own: adaptive execution then splits the rows of a hot fingerprint in the join
+    classes = util.written(classes.join(within_radius(classes, radius), "fp", "left"), "near")
     to_id = lambda c: F.when(F.col(c) != util.NULL_ID, F.col(c))
-    out = out.join(classes, "fp").join(near, "fp", "left")
+    out = out.join(classes.hint("merge"), "fp")
     return out.select(
         to_id("id").alias(id_col), "n_chars", "edited_sha256", F.lower(F.hex("fp")).alias("fingerprint"), F.lower(F.hex("edited_fp")).alias("edited_fingerprint"),
         "near_edited", "near_next", to_id("class_id").alias("class_id"), F.coalesce("n_near", F.lit(0)).alias("n_near"),
