@@ -205,6 +205,10 @@ def _fits(a: str, b: str, num: int, den: int) -> str:
     return f"{num + den} * least({rest(a)}, {rest(b)}) >= {num} * ({size(a)} + {size(b)})"
 
 
+# Tables that a large one joins by a key that may be hot are written first and merged
+# with: then adaptive execution can split the large side (it can't beside an aggregate).
+
+
 def _with_partner(index: DataFrame, num: int, den: int) -> DataFrame:
     """Rows of a bucket (token, grp, sp) but for those that no other of the bucket
     can fit: sets alike have sizes of one class or two neighbouring ones, and
@@ -216,7 +220,7 @@ def _with_partner(index: DataFrame, num: int, den: int) -> DataFrame:
     stats = rows.groupBy("token", "__c").agg(F.count("*").alias("k"), F.min("__s").alias("s0"), F.max("__r").alias("r0"))
     near = stats.select("token", F.explode(F.array(F.col("__c") - 1, F.col("__c"), F.col("__c") + 1)).alias("__c"), "k", "s0", "r0")
     near = near.groupBy("token", "__c").agg(F.sum("k").alias("k"), F.min("s0").alias("s0"), F.max("r0").alias("r0")).where("k > 1")
-    return rows.join(near, ["token", "__c"]).where("least(__r, r0) >= __s + s0").select(*index.columns)
+    return rows.join(util.written(near, "sizes").hint("merge"), ["token", "__c"]).where("least(__r, r0) >= __s + s0").select(*index.columns)
 
 
 def _apart(placed: DataFrame, fits: str, close: str) -> DataFrame:
@@ -226,7 +230,7 @@ def _apart(placed: DataFrame, fits: str, close: str) -> DataFrame:
     by_class = placed.groupBy("token", "comp").agg(F.count("*").alias("k"))
     mixed = by_class.groupBy("token").agg(F.sum("k").alias("c"), F.max_by("comp", "k").alias("top"), F.count("*").alias("classes")).where("classes > 1")
     mixed = mixed.select("token", "top", F.ceil(F.col("c") / BLOCK_ROWS).alias("nb"))
-    rows = util.written(placed.join(mixed, "token"), "open")
+    rows = util.written(placed.join(util.written(mixed, "mixed").hint("merge"), "token"), "open")
     every = rows.select(F.col("token").alias("t2"), F.pmod(F.xxhash64("node"), F.col("nb")).alias("b2"), F.col("node").alias("b"), F.col("sp").alias("osp"), F.col("comp").alias("oc"), F.col("xn").alias("yn"), F.col("xw").alias("yw"))
     few = rows.where("comp <> top").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
     met = few.join(every, (F.col("token") == F.col("t2")) & (F.col("block") == F.col("b2")) & (F.col("comp") != F.col("oc")) & ((F.col("oc") == F.col("top")) | (F.col("node") > F.col("b"))) & F.expr(fits) & F.expr(close))
@@ -345,12 +349,13 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     # of each bucket, one leader by place and one by group; numbers only, so that they aggregate in hash tables
     central = F.shiftleft(F.col("sp").bitwiseAND(F.lit(0xFFFFFFFF)), 32).bitwiseOR(F.col("grp").bitwiseAND(F.lit(0xFFFFFFFF)))
     leaders = index.groupBy("token").agg(F.min("grp").alias("g2"), F.min_by("sp", "grp").alias("sp2"), F.min_by("grp", central).alias("g1"), F.min_by("sp", central).alias("sp1"), F.max("grp").alias("hi")).where("g2 <> hi").drop("hi")
-    shared = util.written(index.join(leaders, "token"), "index")
+    leaders = util.written(leaders, "leaders")
+    shared = util.written(index.join(leaders.hint("merge"), "token"), "index")
     fits = _fits("sp", "osp", num, den)
 
     # groups with a partner anywhere, and their members
     buckets = util.written(_with_partner(shared, num, den), "buckets")
-    util.drop(shared)
+    util.drop(shared, leaders)
     members = scanned.where("kind = 2").select(F.col("a").alias("grp"), F.col("b").alias("s"), "n", "w").dropDuplicates(["grp", "s"])
     several = members.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select("grp")
     active = buckets.select("grp").distinct().union(several).distinct()
@@ -362,7 +367,8 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     # star rounds: each group with the leaders of its buckets, each member with the first and the last of its group
     close = _near_enough("x", "y", num, den)
     ends = members.groupBy("grp").agg(F.min("node").alias("lead"), F.max("node").alias("last"))
-    side = lambda p, node, at: ends.join(members.select(F.col("grp").alias("g"), F.col("node").alias("m"), F.col("n").alias(f"{p}n"), F.col("w").alias(f"{p}w")), (F.col("grp") == F.col("g")) & (F.col("m") == F.col(at))).select(F.col("grp").alias(p), F.col("m").alias(node), f"{p}n", f"{p}w").dropDuplicates([p])
+    ends = util.written(ends.join(members, "grp").where("node IN (lead, last)").dropDuplicates(["grp", "node"]), "ends")
+    side = lambda p, node, at: ends.where(F.col("node") == F.col(at)).select(F.col("grp").alias(p), F.col("node").alias(node), F.col("n").alias(f"{p}n"), F.col("w").alias(f"{p}w"))
     stars = [buckets.where(F.col("grp") != F.col(g)).where(F.expr(_fits("sp", s, num, den))).select(F.least("grp", g).alias("x"), F.greatest("grp", g).alias("y")) for g, s in (("g1", "sp1"), ("g2", "sp2"))]
     pairs = stars[0].union(stars[1]).distinct().join(side("x", "a", "lead"), "x").join(side("y", "b", "lead"), "y").where(close).select("a", "b")
     for at in ("lead", "last"):
@@ -380,7 +386,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     rest = _apart(placed.unionByName(own), fits, close).join(pairs, ["a", "b"], "left_anti")
     rest = util.written(rest, "rest")
     more = util.written(verified(rest, texts, n, num, den), "links")
-    util.drop(buckets, members, labelled, texts, pairs, links, rest)
+    util.drop(buckets, members, ends, labelled, texts, pairs, links, rest)
     between = more.join(comp.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b", "left")
     again = components(between.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
     util.drop(more)
