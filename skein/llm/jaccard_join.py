@@ -209,31 +209,44 @@ def _fits(a: str, b: str, num: int, den: int) -> str:
 # with: then adaptive execution can split the large side (it can't beside an aggregate).
 
 
-def _with_partner(index: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows of a bucket (token, grp, sp) but for those that no other of the bucket
-    can fit: sets alike have sizes of one class or two neighbouring ones, and
-    their sizes' sum is within what either has left from the shared shingle on.
-    Buckets are summed up by size class, so none is ever one task's rows."""
-    ratio = 1.01 * den / num
-    size, rest = F.shiftright("sp", 32), F.shiftright("sp", 32) - F.col("sp").bitwiseAND(F.lit(0xFFFFFFFF))
-    rows = index.withColumns({"__s": size, "__r": F.floor((num + den) * rest / num), "__c": F.floor(F.log(size) / F.log(F.lit(ratio)))})
-    stats = rows.groupBy("token", "__c").agg(F.count("*").alias("k"), F.min("__s").alias("s0"), F.max("__r").alias("r0"))
-    near = stats.select("token", F.explode(F.array(F.col("__c") - 1, F.col("__c"), F.col("__c") + 1)).alias("__c"), "k", "s0", "r0")
-    near = near.groupBy("token", "__c").agg(F.sum("k").alias("k"), F.min("s0").alias("s0"), F.max("r0").alias("r0")).where("k > 1")
-    return rows.join(util.written(near, "sizes").hint("merge"), ["token", "__c"]).where("least(__r, r0) >= __s + s0").select(*index.columns)
-
-
-def _apart(placed: DataFrame, fits: str, close: str) -> DataFrame:
-    """(a, b) of members (token, node, sp, comp, xn, xw) of one bucket whose classes
+def _buckets(index: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows (token, grp, sp) of shingles that two groups or more have, with two
+    leaders of their bucket: by place (g1, sp1) and by group (g2, sp2).
+
+    Rows that no other of the bucket can fit are left out: the sum of two sizes
+    must be within what either has left from the shared shingle on. Buckets of two
+    are judged exactly, others by their smallest size and largest rest.
+    """
+    size, place = F.shiftright("sp", 32), F.col("sp").bitwiseAND(F.lit(0xFFFFFFFF))
+    rest = F.floor((num + den) * (size - place) / num).cast("long")
+    # numbers only, so that they aggregate in hash tables
+    central = F.shiftleft(place, 32).bitwiseOR(F.col("grp").bitwiseAND(F.lit(0xFFFFFFFF)))
+    leads = [F.min_by("grp", central).alias("g1"), F.min_by("sp", central).alias("sp1"), F.min("grp").alias("g2"), F.min_by("sp", "grp").alias("sp2")]
+    sums = [F.count("*").alias("k"), F.min(size).alias("s0"), F.sum(size).alias("ss"), F.max(rest).alias("r0"), F.sum(rest).alias("rs")]
+    leaders = util.written(index.groupBy("token").agg(*leads, *sums).where("k > 1"), "leaders")
+    two = F.least(rest, F.col("rs") - rest) >= F.col("ss")
+    more = F.least(rest, "r0") >= size + F.col("s0")
+    met = index.join(leaders.hint("merge"), "token").where(F.when(F.col("k") == 2, two).otherwise(more))
+    buckets = util.written(met.select("token", "grp", "sp", "g1", "sp1", "g2", "sp2"), "buckets")
+    util.drop(leaders)
+    return buckets
+
+
+def _apart(placed: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b) of members (token, node, sp, comp, n, w) of one bucket whose classes
     differ and that may be alike: those outside the bucket's largest class meet
-    all, which lie in blocks."""
+    all, which lie in blocks. Sets alike have sizes of one class or neighbouring ones."""
     by_class = placed.groupBy("token", "comp").agg(F.count("*").alias("k"))
     mixed = by_class.groupBy("token").agg(F.sum("k").alias("c"), F.max_by("comp", "k").alias("top"), F.count("*").alias("classes")).where("classes > 1")
-    mixed = mixed.select("token", "top", F.ceil(F.col("c") / BLOCK_ROWS).alias("nb"))
-    rows = util.written(placed.join(util.written(mixed, "mixed").hint("merge"), "token"), "open")
-    every = rows.select(F.col("token").alias("t2"), F.pmod(F.xxhash64("node"), F.col("nb")).alias("b2"), F.col("node").alias("b"), F.col("sp").alias("osp"), F.col("comp").alias("oc"), F.col("xn").alias("yn"), F.col("xw").alias("yw"))
-    few = rows.where("comp <> top").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
-    met = few.join(every, (F.col("token") == F.col("t2")) & (F.col("block") == F.col("b2")) & (F.col("comp") != F.col("oc")) & ((F.col("oc") == F.col("top")) | (F.col("node") > F.col("b"))) & F.expr(fits) & F.expr(close))
+    mixed = util.written(mixed.select("token", "top", F.ceil(F.col("c") / BLOCK_ROWS).alias("nb")), "mixed")
+    scale = F.floor(F.log("n") / F.log(F.lit(1.01 * den / num))).cast("long")
+    rows = util.written(placed.join(mixed.hint("merge"), "token").withColumn("scale", scale), "open")
+    every = rows.select(F.col("token").alias("t2"), F.col("scale").alias("c2"), F.pmod(F.xxhash64("node"), F.col("nb")).alias("b2"), F.col("node").alias("b"), F.col("sp").alias("osp"), F.col("comp").alias("oc"), F.col("n").alias("yn"), F.col("w").alias("yw"))
+    few = rows.where("comp <> top").withColumnsRenamed({"n": "xn", "w": "xw"}).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
+    few = few.withColumn("scale", F.explode(F.expr("array(scale - 1, scale, scale + 1)")))
+    other = (F.col("comp") != F.col("oc")) & ((F.col("oc") == F.col("top")) | (F.col("node") > F.col("b")))
+    alike = F.expr(_fits("sp", "osp", num, den)) & F.expr(_near_enough("x", "y", num, den))
+    met = few.join(every, (F.col("token") == F.col("t2")) & (F.col("scale") == F.col("c2")) & (F.col("block") == F.col("b2")) & other & alike)
     return met.select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b")).distinct()
 
 
@@ -346,16 +359,11 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     # a set's node is the smallest id that has it
     reps = util.written(sig.where("n > 0").groupBy("s", "s2").agg(F.min("id").alias("node")), "sets")
     index = scanned.where("kind = 1").select(F.col("a").alias("token"), F.col("b").alias("grp"), F.col("c").alias("sp")).distinct()
-    # of each bucket, one leader by place and one by group; numbers only, so that they aggregate in hash tables
-    central = F.shiftleft(F.col("sp").bitwiseAND(F.lit(0xFFFFFFFF)), 32).bitwiseOR(F.col("grp").bitwiseAND(F.lit(0xFFFFFFFF)))
-    leaders = index.groupBy("token").agg(F.min("grp").alias("g2"), F.min_by("sp", "grp").alias("sp2"), F.min_by("grp", central).alias("g1"), F.min_by("sp", central).alias("sp1"), F.max("grp").alias("hi")).where("g2 <> hi").drop("hi")
-    leaders = util.written(leaders, "leaders")
-    shared = util.written(index.join(leaders.hint("merge"), "token"), "index")
-    fits = _fits("sp", "osp", num, den)
 
     # groups with a partner anywhere, and their members
-    buckets = util.written(_with_partner(shared, num, den), "buckets")
-    util.drop(shared, leaders)
+    index = util.written(index, "index")
+    buckets = _buckets(index, num, den)
+    util.drop(index)
     members = scanned.where("kind = 2").select(F.col("a").alias("grp"), F.col("b").alias("s"), "n", "w").dropDuplicates(["grp", "s"])
     several = members.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select("grp")
     active = buckets.select("grp").distinct().union(several).distinct()
@@ -379,11 +387,11 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
     comp = components(links)
 
     # what is left: pairs of a bucket, or of a group as one more bucket, whose classes still differ
-    labelled = members.join(comp, "node", "left").select("grp", "node", F.coalesce("comp", "node").alias("comp"), F.col("n").alias("xn"), F.col("w").alias("xw"))
+    labelled = members.join(comp, "node", "left").select("grp", "node", F.coalesce("comp", "node").alias("comp"), "n", "w")
     labelled = util.written(labelled, "labelled")
-    placed = buckets.select("token", "grp", "sp").join(labelled, "grp").select("token", "node", "sp", "comp", "xn", "xw")
-    own = labelled.select(F.xxhash64("grp").alias("token"), "node", F.shiftleft("xn", 32).alias("sp"), "comp", "xn", "xw")
-    rest = _apart(placed.unionByName(own), fits, close).join(pairs, ["a", "b"], "left_anti")
+    placed = buckets.select("token", "grp", "sp").join(labelled, "grp").select("token", "node", "sp", "comp", "n", "w")
+    own = labelled.select(F.xxhash64("grp").alias("token"), "node", F.shiftleft("n", 32).alias("sp"), "comp", "n", "w")
+    rest = _apart(placed.unionByName(own), num, den).join(pairs, ["a", "b"], "left_anti")
     rest = util.written(rest, "rest")
     more = util.written(verified(rest, texts, n, num, den), "links")
     util.drop(buckets, members, ends, labelled, texts, pairs, links, rest)
