@@ -336,23 +336,25 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         return [model.langs[c] if m else UNKNOWN for c, m in zip(top, counted)], np.clip(np.round(score, 6), 0, 1), n, switches
 
     def scan(batches):
-        model = Model(*held.value)
+        model, width = Model(*held.value), 1 + len(keep)
         slice_size = (3 << 20) * 8 // max(8, len(model.langs))
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = batch.column(at).to_pylist()
             a = size = 0
             for b, t in enumerate(texts):
                 size += len(t or "")
                 if size < slice_size and b + 1 < len(texts):
                     continue
                 found = label(texts[a : b + 1], model)
-                columns = [batch.column(c).slice(a, b + 1 - a) for c in range(batch.num_columns - 1)]
-                names = [*batch.schema.names[:-1], *dict(made)]
+                columns = [batch.column(c).slice(a, b + 1 - a) for c in range(width)]
+                names = [*batch.schema.names[:width], *dict(made)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(found[0], pa.string()), pa.array(found[1], pa.float64()), pa.array(found[2]), pa.array(found[3], pa.int64())], names=names)
                 a, size = b + 1, 0
 
-    given = docs.select(docs[id_col], *keep, docs[text_col].alias("__t"))
-    schema = T.StructType([*given.schema.fields[:-1], *[T.StructField(c, kind) for c, kind in made]])
+    # the text is sent once, whether or not it is among the columns kept
+    given = docs.select(docs[id_col], *keep, *([] if text_col in keep else [docs[text_col].alias("__t")]))
+    at = 1 + keep.index(text_col) if text_col in keep else 1 + len(keep)
+    schema = T.StructType([*given.schema.fields[: 1 + len(keep)], *[T.StructField(c, kind) for c, kind in made]])
     return given.mapInArrow(util.lean(scan), schema)
 
 

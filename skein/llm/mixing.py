@@ -79,7 +79,7 @@ def mix(docs: DataFrame, levels=LEVELS, weights=WEIGHTS, budget_percent: int = B
     come free, within the prefix. An empty table gives an empty result. Other columns
     pass through; one named `copies` is replaced.
     """
-    docs, restored = util.shielded(docs.drop("copies"))
+    docs, restored = util.shielded(docs.drop("copies"), kept=(id_col,))
     leaves = docs.groupBy(*levels).agg(F.sum("n_tokens").cast("long").alias("tokens"), F.count("*").alias("__n"))
     leaves = util.written(leaves, "leaves")
     plan = allocate(leaves, levels, weights, budget_percent, max_epochs)

@@ -91,12 +91,12 @@ def kept_only(spark: SparkSession):
         _drop(spark, path)
 
 
-def shielded(df: DataFrame):
-    """(df, restore): columns that begin like the operators' own (two low lines) go
-    by other names until restore gives a result's columns their names back."""
+def shielded(df: DataFrame, kept: tuple = ()):
+    """(df, restore): columns that begin like the operators' own (two low lines), but
+    for those kept, go by other names until restore gives them their names back."""
     names: dict = {}
     for c in df.columns:
-        if c.startswith("__"):
+        if c.startswith("__") and c not in kept:
             other = f"in{c}"
             while other.lower() in {x.lower() for x in (*df.columns, *names.values())}:
                 other = f"in_{other}"
