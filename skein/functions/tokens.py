@@ -6,6 +6,7 @@ import json
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +16,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 # fixed values: the pre-token expression, and the special tokens in id order
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 AFTER_LANGUAGES = ("translate", "transcribe", "startoflm", "startofprev", "nospeech", "notimestamps")
+#: Pieces a worker remembers; bytes of distinct pieces that the driver merges by itself, beyond which Spark merges.
+KNOWN, DRIVER_BYTES = 100_000, 64 << 20
 N_LANGUAGES, N_TIMESTAMPS, TICK = 99, 1501, 0.02
 #: Language codes of the evaluation data; a run of N_LANGUAGES ids is reserved for them and others.
 LANGUAGES = ("en", "de", "fr", "es")
@@ -115,22 +118,38 @@ class Bpe:
         self.symbols = list(dict.fromkeys([*base, *(a + b for a, b in merges)]))
         self.ids = {s: i for i, s in enumerate(self.symbols)}
         self.rank = {pair: r for r, pair in enumerate(merges)}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, list[int]] = {}  # KNOWN pieces at most
 
     def split(self, units: str) -> list[str]:
-        """Lowest-ranked pair first, leftmost among equals."""
-        word = list(units)
-        while len(word) > 1:
-            rank, at = min((self.rank.get(pair, len(self.rank)), i) for i, pair in enumerate(zip(word, word[1:])))
-            if rank == len(self.rank):
-                break
-            word[at : at + 2] = [word[at] + word[at + 1]]
-        return word
+        """Lowest-ranked pair first, leftmost among equals; a heap holds the pairs of
+        neighbours, so long pieces take little more time than their length."""
+        word, after = list(units), list(range(1, len(units) + 1))
+        before = list(range(-1, len(units) - 1))
+        heap = [(self.rank[pair], i) for i, pair in enumerate(zip(word, word[1:])) if pair in self.rank]
+        heapify(heap)
+
+        def offer(i: int) -> None:
+            if i >= 0 and after[i] < len(word) and (rank := self.rank.get((word[i], word[after[i]]))) is not None:
+                heappush(heap, (rank, i))
+
+        while heap:
+            rank, i = heappop(heap)
+            j = after[i]
+            if not word[i] or j >= len(word) or self.rank.get((word[i], word[j])) != rank:
+                continue  # one of the two has merged since
+            word[i], word[j], after[i] = word[i] + word[j], "", after[j]
+            if after[i] < len(word):
+                before[after[i]] = i
+            offer(before[i])
+            offer(i)
+        return [w for w in word if w]
 
     def encode(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
         for p in pieces:
             if p not in self.known:
+                if len(self.known) >= KNOWN:
+                    self.known.clear()
                 self.known[p] = [self.ids[s] for s in self.split(to_units(p))]
             out += self.known[p]
         return out
@@ -139,14 +158,47 @@ class Bpe:
         return from_units("".join(self.symbols[i] for i in ids if 0 <= i < len(self.symbols)))
 
 
-def trained(spark: SparkSession, manifest: DataFrame, vocab_size: int) -> Bpe:
-    """Counts words in the cluster and merges on the driver, over distinct words.
+def trained(spark: SparkSession, manifest: DataFrame, vocab_size: int, driver_bytes: int = DRIVER_BYTES) -> Bpe:
+    """Counts words in the cluster and merges over distinct words: on the driver while
+    they are driver_bytes at most, else in the cluster, with the same merges.
     All bytes are base symbols, so any text can be encoded."""
-    counts = {to_units(r.piece): r.n for r in word_frequencies(manifest).toLocalIterator()}
+    words = word_frequencies(manifest)
+    size = words.agg(F.coalesce(F.sum(F.octet_length("piece") + 16), F.lit(0))).first()[0]
+    if size > driver_bytes:
+        merges = train_in_rounds(words, vocab_size)
+        return Bpe(sorted(byte_units()), merges)
+    counts = {to_units(r.piece): r.n for r in words.toLocalIterator()}
     base, merges = train_bpe(counts, max(0, vocab_size - 256) + len({u for w in counts for u in w}))
     return Bpe(sorted({*byte_units(), *base}), merges)
 
 
+def units_of(c: Column) -> Column:
+    """The units of a text's bytes, as an array."""
+    table = F.lit(list(byte_units()))
+    return F.transform(F.split(F.hex(F.encode(c, "UTF-8")), "(?<=\\G..)(?=.)"), lambda h: F.element_at(table, F.conv(h, 16, 10).cast("int") + 1))
+
+
+def train_in_rounds(words: DataFrame, vocab_size: int) -> list[tuple[str, str]]:
+    """The merges of train_bpe, one round of counting in the cluster for each: for
+    more distinct words (piece, n) than a driver holds. Words that are one symbol
+    drop out; the words are checkpointed after each round, so plans stay small."""
+    left = words.where("piece <> ''").select(units_of(F.col("piece")).alias("symbols"), "n").where(F.size("symbols") > 1).checkpoint()
+    merges: list[tuple[str, str]] = []
+    while len(merges) < vocab_size - 256:
+        top = top_pair(pair_counts(left)).first()
+        if top is None or top.n < 2:
+            break
+        merges.append((top.a, top.b))
+        a, b = F.lit(top.a), F.lit(top.b)
+        empty = F.array().cast("array<string>")
+        # held: the symbol that may yet merge with the next
+        step = lambda s, x: F.when((s["held"] == a) & (x == b), F.struct(F.concat(s["done"], F.array(F.concat(a, b))).alias("done"), F.lit("").alias("held"))).otherwise(F.struct(F.when(s["held"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["held"]))).alias("done"), x.alias("held")))
+        end = lambda s: F.when(s["held"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["held"])))
+        folded = F.aggregate("symbols", F.struct(empty.alias("done"), F.lit("").alias("held")), step, end)
+        left = left.withColumn("symbols", F.when(F.array_contains("symbols", a) & F.array_contains("symbols", b), folded).otherwise(F.col("symbols"))).where(F.size("symbols") > 1).checkpoint()
+    return merges
+
+
 def encoder(bpe: Bpe):
     """Vectorized encoding of arrays of pre-tokens."""
     state = (bpe.symbols[: len(bpe.symbols)], bpe.merges)

@@ -1,29 +1,49 @@
 """Ordered operators: ranks, first rows, samples, shuffles, neighbours.
 
-A rank over a whole table is never one task's work: rows fall into buckets by a
-prefix of their order key, buckets are counted, and each row's rank is the rows
-in the buckets before plus its place in its own.
+A rank over a whole table is never one task's work: rows fall into buckets between
+quantiles of their order key, buckets are counted, and each row's rank is the
+rows in the buckets before plus its place in its own.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Sequence numbers in a bucket.
-RUN = 1 << 16
+#: Buckets of a rank at most; only as many counts are ever in one task.
+MOST_BUCKETS = 1024
+
+
+def quantile_bucket(df: DataFrame, key: str) -> Column:
+    """Which of about equal buckets a numeric key falls in; as many as the session
+    has shuffle partitions, MOST_BUCKETS at most. Null keys are in the first."""
+    n = min(MOST_BUCKETS, max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    if n == 1:
+        return F.lit(0)
+    shares = F.array(*[F.lit(k / n) for k in range(1, n)])
+    found = df.agg(F.percentile_approx(key, shares, 20 * n)).first()[0]  # fewer than n numbers
+    bounds = sorted(set(found or []))
+    return F.size(F.filter(F.lit(bounds), lambda b: F.col(key) >= b)) if bounds else F.lit(0)
 
 
 def ranked(df: DataFrame, key: str, *by: str, bucket: Column | None = None) -> DataFrame:
     """df with `rank` (from 1) by key within `by`. bucket: any column that never
-    falls as key rises; by default whole numbers of RUN keys."""
-    cells = df.withColumn("__b", F.floor(F.col(key) / RUN) if bucket is None else bucket)
+    falls as key rises and has few values; by default ranges of a numeric key that
+    hold about as many rows each. Rows of equal keys and null keys share a bucket."""
+    cells = df.withColumn("__b", quantile_bucket(df, key) if bucket is None else bucket)
     counts = cells.groupBy(*by, "__b").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy(*(by or (F.lit(0),))).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    if by:
+        before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    else:
+        found = sorted(tuple(r) for r in counts.collect())  # a row for each bucket
+        sums = [0, *accumulate(n for _, n in found)]
+        counts = df.sparkSession.createDataFrame([(b, s) for (b, _), s in zip(found, sums)], "__b int, __before long")
     names = {c: f"__{c}" for c in (*by, "__b")}
     counts = counts.select(*[F.col(c).alias(n) for c, n in names.items()], "__before")
-    joined = cells.join(counts, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()])
+    joined = cells.join(counts if by else F.broadcast(counts), [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()])  # a row a bucket
     place = F.row_number().over(Window.partitionBy(*by, "__b").orderBy(key))
     return joined.withColumn("rank", (F.col("__before") + place).cast("long")).drop("__b", "__before", *names.values())
 

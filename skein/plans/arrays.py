@@ -13,6 +13,7 @@ from ..functions import evidence as ev
 from ..functions import signal as sg
 from ..functions import tokens as tk
 from ..operators import curate, order
+from ..functions.signal import log_mel as mel_of
 from . import surrogates as s
 
 QUERIES, SQL = {}, {}
@@ -261,16 +262,18 @@ def trimmed_silence(spark, sf_dir):
     return w.select("user_id", F.size("wave").alias("before"), F.size(sg.silence_trimmed("wave")).alias("after"))
 
 
+# by its function's name, not its module's: what workers run travels by value, and a
+# module with functions of Spark's own that have run can't
+def _mel_figures(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for wave in batches:
+        mels = (mel_of(np.asarray(w, np.float32)) for w in wave)
+        yield pd.DataFrame([(m.size, m.max(), m.max() - m.min()) for m in mels], columns=["n", "hi", "span"])
+
+
 @query()
 def log_mel(spark, sf_dir):
     """Size, highest value and range of the log-mel spectrogram of each user's signal."""
-
-    @F.pandas_udf("n int, hi float, span float")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for wave in batches:
-            mels = (sg.log_mel(np.asarray(w, np.float32)) for w in wave)
-            yield pd.DataFrame([(m.size, m.max(), m.max() - m.min()) for m in mels], columns=["n", "hi", "span"])
-
+    run = F.pandas_udf(_mel_figures, "n int, hi float, span float")
     tone = F.transform("wave", lambda x: (x / 1000).cast("float"))
     mel = _waves(spark, sf_dir).select("user_id", run(tone).alias("m"))
     return mel.select("user_id", "m.n", F.round("m.hi", 3).alias("hi"), F.round("m.span", 3).alias("span"))

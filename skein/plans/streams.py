@@ -25,18 +25,9 @@ def query(sql: str | None = None):
     return add
 
 
-def _checkpoint(spark) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        import tempfile
-
-        shared = f"file://{tempfile.gettempdir()}/skein-checkpoints"
-    return f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
-def _run(spark, sf_dir, plan):
+def _run(spark, sf_dir, plan, mode="complete"):
     events = w.stream_of(spark, f"{sf_dir}/events.parquet").where("ts IS NOT NULL").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = w.drained(plan(events), _checkpoint(spark), f"stream_{uuid.uuid4().hex}")
+    out = w.drained(plan(events), f"{s.shared_dir(spark)}/stream-{uuid.uuid4().hex}", mode)
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c, kind in out.dtypes if kind == "timestamp"})
 
 
@@ -65,3 +56,14 @@ def fixed_chunks(spark, sf_dir):
     """Chunks of 30 seconds: how windows advance where nothing is decoded."""
     e = s.table(spark, sf_dir, "events").where("ts IS NOT NULL")
     return e.groupBy(F.window(F.col("ts"), "30 seconds").alias("c"), "user_id").agg(F.count("*").alias("n")).select(F.col("c.start").alias("start"), "user_id", "n")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch(ts) AS s, least(greatest(abs(value), 0.5), 30) AS step FROM events WHERE ts IS NOT NULL AND value IS NOT NULL),
+w AS (SELECT user_id, 1::BIGINT AS n, min((s, event_id, step)) AS x FROM e GROUP BY user_id
+  UNION ALL SELECT w.user_id, any_value(w.n) + 1, min((e.s, e.event_id, e.step)) FROM w JOIN e ON e.user_id = w.user_id AND e.s >= w.x[1] + w.x[3] GROUP BY w.user_id)
+SELECT user_id, x[2] AS event_id, n AS "window", x[1] AS start FROM w""")
+def stream_advancing(spark, sf_dir):
+    """Windows whose starts depend on what the window before held, as a stream with state."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider")
+    plan = lambda e: w.advancing(e.where("value IS NOT NULL").select("user_id", "event_id", F.col("ts").cast("double").alias("seconds"), "value"))
+    return _run(spark, sf_dir, plan, "append")

@@ -22,6 +22,23 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(n) if small else df
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Only a local master gets a
+    temporary one where spark.checkpoint.dir is unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        import tempfile
+
+        named = f"file://{tempfile.gettempdir()}/skein-checkpoints"
+    return named.rstrip("/")
+
+
+#: Lines that a document's numbers leave room for: a hundred million.
+LINES = 100_000_000
+
+
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(seq, utt_id, audio_path, text, language, task, duration, source, speaker, translation)."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
@@ -29,14 +46,14 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     utt = F.substring(F.sha1(F.concat_ws("|", "source", F.col("doc_id").cast("string"), F.col("line").cast("string"))), 1, 16)
     task = F.when((F.col("doc_id") + F.col("line")) % 4 == 0, "translate").otherwise("transcribe")
     return docs.select(
-        (F.col("doc_id") * 100_000 + F.col("line")).alias("seq"), utt.alias("utt_id"), F.concat(F.lit("audio/"), utt, F.lit(".wav")).alias("audio_path"), "text", F.col("lang").alias("language"), task.alias("task"),
+        (F.col("doc_id") * LINES + F.col("line")).alias("seq"), utt.alias("utt_id"), F.concat(F.lit("audio/"), utt, F.lit(".wav")).alias("audio_path"), "text", F.col("lang").alias("language"), task.alias("task"),
         (F.length("text").cast("double") / (8 + (F.col("doc_id") + F.col("line")) % 20)).alias("duration"), "source", (F.col("doc_id") % 37).cast("string").alias("speaker"),
         F.when(task == "translate", F.lower("text")).otherwise("").alias("translation"),
     )
 
 
-MANIFEST_SQL = """manifest AS (
-  SELECT doc_id * 100000 + line AS seq, u.utt_id, 'audio/' || u.utt_id || '.wav' AS audio_path, text, lang AS language, task,
+MANIFEST_SQL = f"""manifest AS (
+  SELECT doc_id * {LINES} + line AS seq, u.utt_id, 'audio/' || u.utt_id || '.wav' AS audio_path, text, lang AS language, task,
     CAST(length(text) AS DOUBLE) / (8 + (doc_id + line) % 20) AS duration, source, CAST(doc_id % 37 AS VARCHAR) AS speaker, CASE WHEN task = 'translate' THEN lower(text) ELSE '' END AS translation
   FROM (SELECT *, substring(sha1(concat_ws('|', source, CAST(doc_id AS VARCHAR), CAST(line AS VARCHAR))), 1, 16) AS utt_id,
           CASE WHEN (doc_id + line) % 4 = 0 THEN 'translate' ELSE 'transcribe' END AS task
@@ -48,11 +65,24 @@ def with_addresses(rows: DataFrame) -> DataFrame:
     return rows.withColumn("text", F.when(F.col("seq") % 13 == 0, F.concat("text", F.lit(" http://x"))).otherwise(F.col("text")))
 
 
+#: Words of an utterance in pairs.
+STRETCH = 24
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(seq, language, reference, hypothesis, avg_logprob): each line against itself less its 7th words and with its 11th replaced."""
-    rows = manifest(spark, sf_dir)
-    heard = F.expr("array_join(filter(transform(split(text, ' '), (w, i) -> CASE WHEN (seq + i) % 7 = 0 THEN null WHEN (seq + i) % 11 = 0 THEN 'uh' ELSE w END), w -> w IS NOT NULL), ' ')")
-    return rows.select("seq", "language", "source", F.col("text").alias("reference"), heard.alias("hypothesis"), (-(F.col("seq") % 23).cast("double") / 10).alias("avg_logprob"))
+    """(seq, part, language, source, reference, hypothesis, avg_logprob): each stretch of
+    STRETCH words of a line against itself less its 7th words and with its 11th replaced."""
+    rows = manifest(spark, sf_dir).select("seq", "language", "source", F.split("text", " ").alias("all"))
+    rows = rows.select("seq", "language", "source", F.posexplode(F.expr(f"transform(sequence(0, (size(all) - 1) div {STRETCH}), k -> slice(all, {STRETCH} * cast(k AS int) + 1, {STRETCH}))")).alias("part", "ws"))
+    heard = F.expr("array_join(filter(transform(ws, (w, i) -> CASE WHEN (seq + i) % 7 = 0 THEN null WHEN (seq + i) % 11 = 0 THEN 'uh' ELSE w END), w -> w IS NOT NULL), ' ')")
+    return rows.select("seq", F.col("part").cast("long").alias("part"), "language", "source", F.array_join("ws", " ").alias("reference"), heard.alias("hypothesis"), (-(F.col("seq") % 23).cast("double") / 10).alias("avg_logprob"))
+
+
+PAIRS_SQL = f"""stretches AS (SELECT seq, language, source, part, words[part * {STRETCH} + 1:part * {STRETCH} + {STRETCH}] AS ws
+  FROM (SELECT seq, language, source, string_split(text, ' ') AS words, unnest(range((len(string_split(text, ' ')) - 1) // {STRETCH} + 1)) AS part FROM manifest)),
+pairs AS (SELECT seq, part, language, source, array_to_string(ws, ' ') AS reference,
+    array_to_string(list_filter(list_transform(ws, lambda w, i: CASE WHEN (seq + i - 1) % 7 = 0 THEN NULL WHEN (seq + i - 1) % 11 = 0 THEN 'uh' ELSE w END), lambda w: w IS NOT NULL), ' ') AS hypothesis
+  FROM stretches)"""
 
 
 def token_rows(spark: SparkSession, sf_dir: str, begin: int = 1000) -> DataFrame:

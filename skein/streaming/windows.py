@@ -6,7 +6,7 @@ rows. Watermarks bound the state; late rows past them are dropped.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -48,7 +48,8 @@ STATE = "next_start double, n long"
 
 def advance_windows(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """Windows whose starts depend on the data: a row at or after the next start
-    opens one, and the next may start as far on as the row's value says (0.5 to 30)."""
+    opens one, and the next may start as far on as the row's value says (0.5 to 30).
+    A batch holds a user's rows of one trigger."""
     at, n = state.get if state.exists else (0.0, 0)
     rows = pd.concat(list(batches)).sort_values(["seconds", "event_id"])
     out = []
@@ -66,9 +67,20 @@ def advancing(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(advance_windows, "user_id long, event_id long, window long, start double", STATE, "append", "NoTimeout")
 
 
-def drained(stream: DataFrame, checkpoint: str, table: str, mode: str = "complete", write: Callable | None = None) -> DataFrame:
-    """Runs a stream until its input is used up and gives the rows of its sink."""
+def drained(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """Runs a stream until its input is used up and gives the rows of its sink: files
+    in `folder`, beside the checkpoint. Complete mode keeps the last batch's
+    rows, append mode those of all batches; the driver holds none."""
+    paths: list[str] = []
+
+    def keep(batch: DataFrame, number: int) -> None:
+        path = f"{folder}/rows/{number}"
+        batch.write.mode("overwrite").parquet(path)
+        paths.append(path)
+
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    out.foreachBatch(keep).start().awaitTermination()
     spark = stream.sparkSession
-    out = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    (out.foreachBatch(write) if write else out.format("memory").queryName(table)).start().awaitTermination()
-    return spark.table(table)
+    if not paths:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(*(paths[-1:] if mode == "complete" else paths))

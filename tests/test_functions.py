@@ -109,11 +109,71 @@ def test_waves(spark):
     r = df.select(sg.resampled(F.col("w"), 32_000).alias("r"), sg.peak_normalized(F.transform("w", lambda x: x * 4)).alias("p"), sg.pad_or_trim(F.col("w"), 40_000).alias("q")).first()
     assert len(r.r) == 16_000 and set(r.r) == {0.5} and abs(max(r.p) - 0.95) < 1e-6 and len(r.q) == 40_000 and r.q[-1] == 0
     quiet = np.concatenate([np.zeros(8000), np.ones(4000), np.zeros(8000)]).astype(np.float32)
-    cut = sg.trim_silence(quiet)
-    assert 4000 < len(cut) < 8000 and (sg.trim_silence(quiet * 0) == quiet * 0).all()
+    # the first frame with a voiced sample begins at 7680, the last at 11840; four hops before, five and a frame after
+    assert sg.voiced_span(quiet) == (7680 - 640, 11840 + 400 + 800)
+    assert sg.voiced_span(quiet * 0) == (0, len(quiet)) and sg.voiced_span(quiet[:399]) == (0, 399)
+    at = 10 ** (-45 / 20)
+    assert sg.voiced_span(np.concatenate([np.zeros(4000), np.full(4000, at * 0.999)])) == (0, 8000)
+    assert sg.voiced_span(np.concatenate([np.zeros(4000), np.full(4000, at * 1.001)]))[0] > 0
     assert (sg.augment(quiet, "a") == sg.augment(quiet, "a")).all()
-    mel = np.random.default_rng(0).random((80, 100))
-    assert sg.spec_augment(mel, "k").shape == mel.shape
+    room = sg.reverberated(np.eye(1, 20_000)[0], np.random.default_rng(1))
+    assert abs((room**2).sum() - 1) < 1e-9 and (room[4000:9600] ** 2).sum() < 0.05
+    dry = np.random.default_rng(2).standard_normal(500)
+    wet, rng = sg.reverberated(dry, np.random.default_rng(3)), np.random.default_rng(3)
+    n = int(rng.uniform(0.1, 0.6) * sg.RATE)
+    impulse = rng.standard_normal(n) * np.exp(-np.log(1000) * np.arange(n) / n)
+    impulse[0] = 1
+    assert np.allclose(wet, np.convolve(dry, impulse / np.linalg.norm(impulse))[:500])
+
+
+def test_spec_augment():
+    """Only whole rows and spans are masked, with the mean, within the widths; every kind occurs."""
+    mel = np.random.default_rng(0).random((80, 400))
+    rows, spans = set(), set()
+    for k in range(200):
+        changed = sg.spec_augment(mel, f"k{k}") != mel
+        whole_rows = changed.all(axis=1)
+        whole_spans = changed[~whole_rows].all(axis=0)
+        assert (changed == (whole_rows[:, None] | whole_spans[None, :])).all()
+        assert np.allclose(sg.spec_augment(mel, f"k{k}")[changed], mel.mean())
+        rows.add(int(whole_rows.sum()))
+        spans.add(int(whole_spans.sum()))
+    assert max(rows) <= 54 and max(spans) <= 40 and len(rows) > 20 and len(spans) > 10
+    again = sg.spec_augment(mel, "k1")
+    assert (again == sg.spec_augment(mel, "k1")).all() and (again != sg.spec_augment(mel, "k2")).any()
+
+
+def test_shard_ready(spark):
+    loud = [0.0] * 4000 + [2.0] * 12_000 + [0.0] * 4000
+    rows = [(1, loud), (2, [0.5] * 9_599), (3, None), (4, [0.0] * 9_600)]
+    got = {r.k: r for r in sg.shard_ready(spark.createDataFrame(rows, "k int, wave array<float>")).collect()}
+    assert set(got) == {1, 4} and got[1].samples == len(got[1].wave) < 20_000 and abs(max(got[1].wave) - 0.95) < 1e-6
+    assert got[4].wave == [0.0] * 9_600
+
+
+def test_merges_in_the_cluster_are_those_of_the_driver(spark):
+    text = "low lower lowest newer newest wide wider widest aaaa aaa été étés " * 3
+    rows = spark.createDataFrame([(text, "")], "text string, translation string")
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    a, b = tk.trained(spark, rows, 275), tk.trained(spark, rows, 275, driver_bytes=0)
+    assert a.merges == b.merges and len(a.merges) > 10 and a.symbols == b.symbols
+
+
+def test_heap_split_is_the_plain_one():
+    rng = np.random.default_rng(5)
+    bpe = tk.Bpe(list("abc"), [("a", "a"), ("b", "c"), ("aa", "a"), ("aa", "aa"), ("c", "b"), ("bc", "bc"), ("a", "bc")])
+
+    def plain(word):
+        word = list(word)
+        while pairs := [(bpe.rank[p], i) for i, p in enumerate(zip(word, word[1:])) if p in bpe.rank]:
+            _, i = min(pairs)
+            word[i : i + 2] = [word[i] + word[i + 1]]
+        return word
+
+    for _ in range(400):
+        w = "".join(rng.choice(list("abc"), rng.integers(0, 14)))
+        assert bpe.split(w) == plain(w), w
+    assert len(bpe.split("abc" * 50_000)) == 50_000
 
 
 def test_sampling():

@@ -1,4 +1,5 @@
 import json
+import os
 import wave
 
 import numpy as np
@@ -107,6 +108,13 @@ def test_ranks(spark):
     for g in range(3):
         own = sorted(i for i in ids if i % 3 == g)
         assert {r.seq: r["rank"] for r in got if r.g == g} == {i: k for k, i in enumerate(own, 1)}
+    plan = order.ranked(df, "seq")._jdf.queryExecution().executedPlan().toString()
+    wide = spark.createDataFrame([(i * 10**12,) for i in ids], "seq long")  # far apart, as numbers of documents are
+    assert {r.seq // 10**12: r["rank"] for r in order.ranked(wide, "seq").collect()} == want
+    buckets = wide.withColumn("b", order.quantile_bucket(wide, "seq")).groupBy("b").count().collect()
+    assert 4 <= len(buckets) <= 8 and max(r["count"] for r in buckets) < 2 * 5000 / 8
+    assert "SinglePartition" not in plan
+    assert order.ranked(df.where("false"), "seq").count() == 0
     shuffled = [r.seq for r in order.shuffled(df, 5, "seq").orderBy("rank").collect()]
     assert sorted(shuffled) == sorted(ids) and shuffled != sorted(ids)
     assert [r.seq for r in order.every_kth(df, "seq", 1000).orderBy("seq").collect()] == sorted(ids)[::1000]
@@ -139,3 +147,22 @@ def test_advancing_stream(spark, sf_dir, tmp_path):
             at[r.user_id] = r.event_id + min(max(abs(r.value), 0.5), 30.0)
             want.add((r.user_id, r.event_id, n[r.user_id], float(r.event_id)))
     assert {tuple(r) for r in kept} == want
+
+
+def test_late_rows_are_dropped_and_windows_kept(spark, tmp_path):
+    """Append mode: windows past the watermark come out once, a row behind it is not counted."""
+    at = lambda h, m: f"2024-01-01 {h:02}:{m:02}:00"
+    batches = [[(1, at(1, 5)), (2, at(1, 50))], [(3, at(4, 0))], [(5, at(7, 0))], [(4, at(1, 6)), (6, at(9, 0))], [(7, at(11, 0))]]
+    for rows in batches:
+        df = spark.createDataFrame(rows, "event_id long, t string").selectExpr("event_id", "cast(t AS timestamp) AS ts", "'x' AS event_type", "1.0D AS value")
+        df.coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
+    schema = spark.read.parquet(f"{tmp_path}/events").schema
+    files = sorted((tmp_path / "events").glob("part-*"), key=lambda p: p.stat().st_mtime_ns)
+    for k, f in enumerate(files):  # one file a trigger, in order of time
+        os.utime(f, (1_700_000_000 + k, 1_700_000_000 + k))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/events")
+    out = windows.drained(windows.tumbling(stream), f"file://{tmp_path}/sink", "append")
+    rows = sorted((str(r.start), r.n) for r in out.collect())
+    assert rows[:3] == [(at(1, 0), 2), (at(4, 0), 1), (at(7, 0), 1)] and len(rows) == len(dict(rows)) < 5
+    again = windows.drained(windows.tumbling(stream), f"file://{tmp_path}/sink2", "complete")
+    assert {str(r.start): r.n for r in again.collect()}[at(11, 0)] == 1
