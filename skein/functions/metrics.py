@@ -107,6 +107,6 @@ def error_buckets(rates: DataFrame) -> DataFrame:
     return rates.agg(F.count_if(w == 0).alias("exact"), F.count_if((w > 0) & (w <= a)).alias(near), F.count_if((w > a) & (w <= b)).alias(degraded), F.count_if(w > b).alias("failed"))
 
 
-def worst_examples(rates: DataFrame, seq: str = "seq", k: int = 10) -> DataFrame:
+def worst_examples(rates: DataFrame, *seq: str, k: int = 10) -> DataFrame:
     """The k rows of largest wer, earlier rows first among equals."""
-    return rates.orderBy(F.desc("wer"), seq).limit(k)
+    return rates.orderBy(F.desc("wer"), *(seq or ("seq",))).limit(k)

@@ -268,9 +268,14 @@ def letter_piece_counts(spark, sf_dir):
     return rows.select(F.explode(runs).alias("piece")).groupBy("piece").agg(F.count("*").alias("n"))
 
 
-@query()
+# The other engine has no look-ahead: a mark before the last of several white spaces that text follows stands for it.
+MARKED = "regexp_replace({c}, '(\\s+)(\\s)(\\S)', '\\1' || chr(57344) || '\\2\\3', 'g')"
+PRETOKENS = "regexp_extract_all(" + MARKED + ", '''s|''t|''re|''ve|''m|''ll|''d| ?\\p{{L}}+| ?\\p{{N}}+| ?[^\\s\\p{{L}}\\p{{N}}\\x{{E000}}]+|\\s+')"
+
+
+@query(f"{M}, p AS (SELECT unnest({PRETOKENS.format(c='text')}) AS piece FROM manifest UNION ALL SELECT unnest({PRETOKENS.format(c='translation')}) FROM manifest WHERE translation <> '') SELECT piece, count(*) AS n FROM p GROUP BY piece")
 def word_frequencies(spark, sf_dir):
-    """Counts of all pre-tokens, which need a look-ahead that the other engine's expressions lack."""
+    """Counts of all pre-tokens of text and translation."""
     return tokens.word_frequencies(s.manifest(spark, sf_dir))
 
 
@@ -294,26 +299,36 @@ def top_pair(spark, sf_dir):
     return tokens.top_pair(tokens.pair_counts(_words(spark, sf_dir)))
 
 
-@query()
+# Sequences as strings of one byte a unit, by a unit's place among a pair's distinct ones (fewer than 127 in a
+# stretch): the other engine's edit distance counts bytes.
+CODED = "array_to_string(list_transform({x}, lambda u: chr(CAST(list_position({d}, u) AS INT))), '')"
+RATED = f"""{M}, {s.PAIRS_SQL},
+u AS (SELECT *, {WORDS.format(c='reference')} AS rw, {WORDS.format(c='hypothesis')} AS hw, regexp_extract_all(regexp_replace(reference, '[\\s\\p{{Z}}]+', '', 'g'), '(?s).') AS rc, regexp_extract_all(regexp_replace(hypothesis, '[\\s\\p{{Z}}]+', '', 'g'), '(?s).') AS hc FROM pairs),
+d AS (SELECT *, list_distinct(rw || hw) AS dw, list_distinct(rc || hc) AS dc FROM u),
+rated AS (SELECT seq, part, language, source, reference, hypothesis, len(rw) AS words, len(rc) AS chars, levenshtein({CODED.format(x='rw', d='dw')}, {CODED.format(x='hw', d='dw')}) AS edits, levenshtein({CODED.format(x='rc', d='dc')}, {CODED.format(x='hc', d='dc')}) AS char_edits FROM d)"""
+RATES = "CASE WHEN sum(words) > 0 THEN sum(edits) / sum(words)::DOUBLE ELSE 0 END AS wer, CASE WHEN sum(chars) > 0 THEN sum(char_edits) / sum(chars)::DOUBLE ELSE 0 END AS cer, count(*) AS n"
+
+
+@query(f"{RATED} SELECT source, {RATES} FROM rated GROUP BY source")
 def corpus_wer(spark, sf_dir):
     """Pooled word and character error rates by source."""
     return metrics.corpus_rates(s.pairs(spark, sf_dir), "source")
 
 
-@query()
+@query(f"{RATED}, g AS (SELECT language, {RATES} FROM rated GROUP BY language) SELECT language, CASE WHEN language IN ('zh', 'ja', 'th', 'lo', 'my', 'km') THEN 'cer' ELSE 'wer' END AS metric, CASE WHEN language IN ('zh', 'ja', 'th', 'lo', 'my', 'km') THEN cer ELSE wer END AS value, n FROM g")
 def language_metric(spark, sf_dir):
     return metrics.language_metric(s.pairs(spark, sf_dir))
 
 
-@query()
+@query(f"{RATED}, w AS (SELECT edits / words::DOUBLE AS wer FROM rated WHERE words > 0) SELECT count(*) FILTER (wer = 0) AS exact, count(*) FILTER (wer > 0 AND wer <= 0.1) AS near, count(*) FILTER (wer > 0.1 AND wer <= 0.5) AS degraded, count(*) FILTER (wer > 0.5) AS failed FROM w")
 def error_buckets(spark, sf_dir):
     return metrics.error_buckets(metrics.utterance_rates(s.pairs(spark, sf_dir)))
 
 
-@query()
+@query(f"{RATED} SELECT seq, part, reference, hypothesis, edits / words::DOUBLE AS wer FROM rated WHERE words > 0 ORDER BY wer DESC, seq, part LIMIT 10")
 def worst_examples(spark, sf_dir):
     """The ten utterances of largest error rate."""
-    return metrics.worst_examples(metrics.utterance_rates(s.pairs(spark, sf_dir))).select("seq", "reference", "hypothesis", "wer")
+    return metrics.worst_examples(metrics.utterance_rates(s.pairs(spark, sf_dir)), "seq", "part").select("seq", "part", "reference", "hypothesis", "wer")
 
 
 @query("""SELECT conv_id, turn, length(regexp_replace(coalesce(text, ''), '[\\s\\p{Z}]+', '', 'g')) AS chars, CAST(len(list_filter(string_split(regexp_replace(coalesce(text, ''), '[\\s\\p{Z}]+', ' ', 'g'), ' '), lambda w: w <> '')) AS BIGINT) AS words FROM conversations""")
@@ -329,8 +344,9 @@ def numeric_words(spark, sf_dir):
     return words.select("w", textnorm.is_numeric(F.col("w")).alias("numeric"))
 
 
-@query()
+@query(f"{M} SELECT seq, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '[<\\[][^>\\]]*[>\\]]', '', 'g'), '\\(([^)]+?)\\)', '', 'g'), '[\\p{{M}}\\p{{S}}\\p{{P}}]', ' ', 'g'), '[\\s\\p{{Z}}]+', ' ', 'g')) AS text FROM manifest")
 def normalize_basic(spark, sf_dir):
+    """The basic normalizer; the SQL holds for composed text without compatibility forms."""
     return s.manifest(spark, sf_dir).select("seq", textnorm.basic("text").alias("text"))
 
 
@@ -355,7 +371,12 @@ def english_numbers(spark, sf_dir):
     return s.manifest(spark, sf_dir).select("seq", textnorm.numbers(F.lower("text")).alias("text"))
 
 
-@query()
+# The symbols kept go by characters of no kind meanwhile.
+KEPT = "chr(57344) || chr(57345) || chr(57346) || chr(57347) || chr(57348) || chr(57349)"
+PLAIN = "replace(replace(replace(replace(text, 'ß', 'ss'), 'œ', 'oe'), 'æ', 'ae'), 'ø', 'o')"
+
+
+@query(f"{M} SELECT seq, translate(regexp_replace(translate(strip_accents({PLAIN}), '{textnorm.KEPT_SYMBOLS}', {KEPT}), '[\\p{{M}}\\p{{S}}\\p{{P}}]', ' ', 'g'), {KEPT}, '{textnorm.KEPT_SYMBOLS}') AS text FROM manifest")
 def plain_letters(spark, sf_dir):
     """Text without diacritics and symbols."""
     return s.manifest(spark, sf_dir).select("seq", textnorm.diacritics("text").alias("text"))

@@ -77,23 +77,60 @@ def _per_row(kind, f):
     return run
 
 
-@query()
+# The seeded draw of the other engine: one step of the generator in 128-bit numbers.
+DRAW = """x0 AS (SELECT vec_id, embedding, (vec_id | 1)::UHUGEINT AS x FROM embeddings), x1 AS (SELECT vec_id, embedding, xor(x, x >> 12) AS x FROM x0),
+x2 AS (SELECT vec_id, embedding, xor(x, (x << 25) & 18446744073709551615::UHUGEINT) AS x FROM x1), x3 AS (SELECT vec_id, embedding, xor(x, x >> 27) AS x FROM x2),
+drawn AS (SELECT vec_id, embedding, (((x * 2685821657736338717::UHUGEINT) & 18446744073709551615::UHUGEINT) >> 40)::DOUBLE / 16777216 AS draw FROM x3)"""
+
+
+@query(f"""WITH {DRAW}, p AS (SELECT vec_id, draw, unnest(range(len(embedding))) AS pos, unnest(list_transform(embedding, lambda x: exp((x::DOUBLE - list_max(embedding)::DOUBLE) / 0.7::DOUBLE))) AS p FROM drawn),
+r AS (SELECT *, sum(p) OVER (PARTITION BY vec_id ORDER BY pos) / sum(p) OVER (PARTITION BY vec_id) AS run FROM p)
+SELECT vec_id, coalesce(min(CASE WHEN draw < run THEN pos END), arg_max(pos, (p, pos))) AS token FROM r GROUP BY vec_id""")
 def sampled_tokens(spark, sf_dir):
     """A token drawn from each vector at temperature 0.7, seeded by its id."""
     draw = _per_row(LongType(), lambda k, z: sample(z, 0.7, XorShift(k)))
     return s.table(spark, sf_dir, "embeddings").select("vec_id", draw("vec_id", "embedding").alias("token"))
 
 
-@query()
+def _chosen(allowed: str) -> str:
+    """SQL: the token chosen among those allowed (by number i): a stamp if stamps weigh more than the best text."""
+    p = f"list_transform(embedding, lambda x, k: CASE WHEN {allowed.replace('#', '(k - 1)')} THEN exp(x::DOUBLE) ELSE 0 END)"
+    last = "list_max(list_transform({r}, lambda i: CASE WHEN p[i + 1] = list_max(p[{a}:{b}]) THEN i END))"
+    text, stamp = last.format(r="range(48)", a=1, b=48), last.format(r="range(48, 64)", a=49, b=64)
+    return f"(SELECT CASE WHEN list_sum(p[49:64]) > list_max(p[1:48]) THEN {stamp} ELSE {text} END FROM (SELECT {p} AS p))"
+
+
+@query(f"SELECT vec_id, {_chosen('# >= 48')} AS first, {_chosen('# <= 40')} AS after_stamp, {_chosen('(# <= 40 OR # >= 49)')} AS after_text, {_chosen('(# = 40 OR # >= 50)')} AS closing FROM embeddings")
 def constrained_tokens(spark, sf_dir):
-    """The token that the timestamp grammar leaves, after no token, a stamp, and a stamp and text."""
+    """The token that the timestamp grammar leaves, after no token, a stamp, a stamp and text, and a stamp that closes."""
     e = s.table(spark, sf_dir, "embeddings")
     names = {"first": [], "after_stamp": [48], "after_text": [48, 5], "closing": [48, 5, 50]}
-    picks = {n: _per_row(LongType(), lambda k, z, h=h: choose(timestamp_rules(z, h, SPECIALS), SPECIALS)) for n, h in names.items()}
-    return e.select("vec_id", *[f("vec_id", "embedding").alias(n) for n, f in picks.items()])
+    rules, pick, sp = timestamp_rules, choose, SPECIALS
 
+    @F.pandas_udf("struct<" + ", ".join(f"{n}: long" for n in names) + ">")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for logits in batches:
+            rows = [[pick(rules(np.asarray(z, np.float64), h, sp), sp) for h in names.values()] for z in logits]
+            yield pd.DataFrame(rows, columns=list(names))
 
-@query()
+    return e.select("vec_id", run("embedding").alias("t")).select("vec_id", "t.*")
+
+
+# The loop as a recursion: logits turned by 7 a token, the grammar's mask from the last two tokens and the largest stamp.
+GREEDY = """WITH RECURSIVE g AS (SELECT vec_id, embedding, 0 AS n, []::BIGINT[] AS tokens, false AS done FROM embeddings
+  UNION ALL SELECT vec_id, embedding, n + 1, CASE WHEN t = 40 THEN tokens ELSE tokens || [t] END, t = 40 OR n + 2 >= 224 FROM (
+    SELECT vec_id, embedding, n, tokens, CASE WHEN list_sum(p[49:64]) > list_max(p[1:48])
+        THEN list_max(list_transform(range(48, 64), lambda i: CASE WHEN p[i + 1] = list_max(p[49:64]) THEN i END))
+        ELSE list_max(list_transform(range(48), lambda i: CASE WHEN p[i + 1] = list_max(p[1:48]) THEN i END)) END AS t
+    FROM (SELECT *, list_transform(range(64), lambda i: CASE WHEN CASE WHEN n = 0 THEN i >= 48
+          WHEN last AND before THEN i <= 40
+          WHEN last THEN i = 40 OR i >= top
+          ELSE i <= 40 OR (i >= 48 AND i > top) END THEN exp(embedding[(i - 7 * n) % 64 + 1 + CASE WHEN (i - 7 * n) % 64 < 0 THEN 64 ELSE 0 END]::DOUBLE * 8) ELSE 0 END) AS p
+      FROM (SELECT *, tokens[-1] >= 48 AS last, n < 2 OR tokens[-2] >= 48 AS before, coalesce(list_max(list_filter(tokens, lambda x: x >= 48)), -1) AS top FROM g WHERE NOT done))))
+SELECT vec_id, CAST(arg_max(tokens, n) AS INT[]) AS tokens FROM g GROUP BY vec_id"""
+
+
+@query(GREEDY)
 def greedy_tokens(spark, sf_dir):
     """Sequences from a decoding loop whose logits are each vector turned by the tokens so far."""
 
@@ -104,7 +141,11 @@ def greedy_tokens(spark, sf_dir):
     return s.table(spark, sf_dir, "embeddings").select("vec_id", _per_row(ArrayType(IntegerType()), decode)("vec_id", "embedding").alias("tokens"))
 
 
-@query()
+@query(f"""WITH {s.TOKEN_ROWS_SQL}, l AS (SELECT conv_id, list(token ORDER BY pos) AS t FROM tokens GROUP BY conv_id),
+a AS (SELECT conv_id, t, list_filter(list_transform(t, lambda x, i: CASE WHEN x >= 1000 THEN i END), lambda i: i IS NOT NULL) AS stamps FROM l),
+k AS (SELECT conv_id, t, stamps, unnest(range(len(stamps) // 2)) AS segment FROM a WHERE len(stamps) >= 2)
+SELECT conv_id, CAST(segment AS INT) AS segment, least((t[stamps[2 * segment + 1]] - 1000) * 0.02::DOUBLE, 30) AS start, least((t[stamps[2 * segment + 2]] - 1000) * 0.02::DOUBLE, 30) AS "end", CAST(len(list_filter(t[stamps[2 * segment + 1] + 1:stamps[2 * segment + 2] - 1], lambda x: x < 1000)) AS INT) AS n FROM k
+UNION ALL SELECT conv_id, 0, 0, 30, CAST(len(list_filter(t, lambda x: x < 1000)) AS INT) FROM a WHERE len(stamps) < 2""")
 def paired_segments(spark, sf_dir):
     """Segments of each conversation's tokens by pairs of stamps: the research form."""
     rows = s.token_rows(spark, sf_dir).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("t"))
