@@ -188,6 +188,21 @@ def advance(last_stamp: Column, rate: int = 16_000) -> Column:
     return F.greatest(to, F.lit(MIN_ADVANCE))
 
 
+def advance_of(last_stamp: float, rate: int = 16_000) -> int:
+    """As advance, of one number."""
+    to = min(int(last_stamp * rate), MAX_ADVANCE) if last_stamp > 0 else MAX_ADVANCE
+    return max(to, MIN_ADVANCE)
+
+
+def windows_of(n_samples: int, advance_at) -> Iterator[int]:
+    """Starts of the windows of a recording; advance_at decodes the window at a start
+    and says how many samples on the next begins."""
+    at = 0
+    while at < n_samples:
+        yield at
+        at += max(advance_at(at), 1)
+
+
 def evidence_report(segs: DataFrame) -> DataFrame:
     """One row over segments (avg_logprob, temperature, language)."""
     return segs.agg(

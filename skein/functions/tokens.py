@@ -16,6 +16,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType
 # fixed values: the pre-token expression, and the special tokens in id order
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 AFTER_LANGUAGES = ("translate", "transcribe", "startoflm", "startofprev", "nospeech", "notimestamps")
+#: Ids of a target sequence at most.
+TEXT_CONTEXT = 448
 #: Pieces a worker remembers; bytes of distinct pieces that the driver merges by itself, beyond which Spark merges.
 KNOWN, DRIVER_BYTES = 100_000, 64 << 20
 N_LANGUAGES, N_TIMESTAMPS, TICK = 99, 1501, 0.02

@@ -79,12 +79,16 @@ def split_stats(rows: DataFrame, *by: str) -> DataFrame:
     return out.agg(F.count("*").alias("utterances"), (F.sum("duration") / 3600).alias("hours"), F.grouping_id().alias("level"))
 
 
-def checkpoint_language(c: Column) -> Column:
-    """Language of an evaluation folder's name; null where none can be derived."""
+def checkpoint_language(c: Column, strict: bool = False) -> Column:
+    """Language of an evaluation folder's name; where none can be derived null, or
+    (strict) an error."""
     # fixed values: folders whose language is not their first part
     named = {"cmn_hans_cn": "zh", "yue_hant_hk": "zh", "fil_ph": "tl", "nb_no": "no"}
     code = F.element_at(F.create_map(*[F.lit(x) for kv in named.items() for x in kv]), c)
-    return F.coalesce(code, F.nullif(F.substring_index(c, "_", 1), F.lit("")))
+    found = F.coalesce(code, F.nullif(F.substring_index(c, "_", 1), F.lit("")))
+    if not strict:
+        return found
+    return F.coalesce(found, F.raise_error(F.concat(F.lit("no language code in "), F.coalesce(c, F.lit("null")))).cast("string"))
 
 
 def target_text(rows: DataFrame) -> Column:

@@ -254,7 +254,10 @@ def pad_or_trim(spark, sf_dir):
     return p.select("user_id", F.size("p").cast("long").alias("n"), F.aggregate("p", F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
-@query()
+@query(f"""WITH {WAVES}, x AS (SELECT user_id, list_resize([]::FLOAT[], 4000, 0) || list_transform(wave, lambda x: CAST(x / 1000 AS FLOAT)) || list_resize([]::FLOAT[], 4000, 0) AS x FROM w),
+f AS (SELECT user_id, i * 160 AS pos, list_sum(list_transform(x[i * 160 + 1:i * 160 + 400], lambda v: v::DOUBLE * v::DOUBLE)) AS e FROM (SELECT user_id, x, unnest(range((len(x) - 400) // 160 + 1)) AS i FROM x)),
+v AS (SELECT user_id, min(pos) AS a, max(pos) AS b FROM f WHERE e > 400 * pow(10::DOUBLE, -4.5) GROUP BY user_id)
+SELECT x.user_id, CAST(len(x) AS INT) AS before, CAST(CASE WHEN a IS NULL THEN len(x) ELSE least(b + 400 + 800, len(x)) - greatest(a - 640, 0) END AS INT) AS after FROM x LEFT JOIN v USING (user_id)""")
 def trimmed_silence(spark, sf_dir):
     """Lengths of each user's signal before and after silence is cut at both ends."""
     tone = F.transform("wave", lambda x: (x / 1000).cast("float"))

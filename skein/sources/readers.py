@@ -36,8 +36,8 @@ def utterance_id(*parts) -> Column:
 
 
 def _plain(path: Column) -> Column:
-    """One spelling of local paths, which readers write with one slash or three."""
-    return F.regexp_replace(path, "^file:/+", "file:/")
+    """One spelling of local paths, which have no scheme, or one with a slash or three."""
+    return F.regexp_replace(path, "^file:/+", "/")
 
 
 def _folder(path: Column) -> Column:
@@ -71,9 +71,9 @@ def with_audio(rows: DataFrame, audio: DataFrame, on_missing: str = "skip") -> D
     return rows.join(audio, "audio_path")
 
 
-def scan_transcripts(spark: SparkSession, root: str, source: str, language: str, audio: DataFrame, on_missing: str = "skip", extension: str = ".wav") -> DataFrame:
-    """Transcript files *.trans.txt: lines "id text"; the id begins with the speaker."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.trans.txt").text(root).select("value", F.col("_metadata.file_path").alias("file"))
+def scan_transcripts(spark: SparkSession, root: str, source: str, language: str, audio: DataFrame, on_missing: str = "skip", extension: str = ".wav", pattern: str = "*.trans.txt") -> DataFrame:
+    """Transcript files, by default *.trans.txt: lines "id text"; the id begins with the speaker."""
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root).select("value", F.col("_metadata.file_path").alias("file"))
     parts = F.split("value", " ", 2)
     if on_missing == "error":
         _refuse(lines.where(F.size(parts) < 2), "file", "a line without an id and a text in")
@@ -126,7 +126,11 @@ def scan_references(spark: SparkSession, tsv: str, audio_root: str, audio: DataF
 
 def read_waves(spark: SparkSession, root: str, glob: str = "*.wav") -> DataFrame:
     """(path, wave): mono at 16 kHz, by linear interpolation; unreadable files have null waves."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path", "content")
+    return decoded(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path", "content"))
+
+
+def decoded(files: DataFrame) -> DataFrame:
+    """(path, wave) of audio files (path, content)."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +186,12 @@ def write_shards(rows: DataFrame, path: str, split: str = "split") -> None:
 def write_hypotheses(rows: DataFrame, path: str, header: bool) -> None:
     """Tab-separated; tabs and line breaks within a cell become spaces."""
     clean = rows.select(*[F.translate(F.coalesce(F.col(c).cast("string"), F.lit("")), "\t\r\n", "   ").alias(c) for c in rows.columns])
-    clean.write.mode("overwrite").option("emptyValue", "").csv(path, sep="\t", header=header, quote="", escape="")
+    write_table(clean, path, header)
+
+
+def write_table(cells: DataFrame, path: str, header: bool) -> None:
+    """Tab-separated, unquoted; cells hold no tabs and keep their outer spaces."""
+    cells.write.mode("overwrite").csv(path, sep="\t", header=header, quote="", escape="", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_tokenizer(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -204,6 +213,20 @@ def read_metrics(spark: SparkSession, path: str, key: str) -> DataFrame:
     return spark.read.schema(schemas.METRICS).json(path).where(F.col(key).isNotNull()).select("step", key)
 
 
+def append_metrics(rows: DataFrame, path: str) -> None:
+    """Adds rows (step, and any of the metrics) to a log."""
+    rows.write.mode("append").json(path)
+
+
+def tensor_differences(own: DataFrame, copy: DataFrame) -> DataFrame:
+    """(name, status, diff) of the tensors (name, values) against a copy's: equal, or
+    differs by at most diff, or of another shape, or missing from the copy."""
+    both = own.join(copy.select("name", F.col("values").alias("__copy")), "name", "left")
+    apart = F.zip_with("values", "__copy", lambda a, b: F.abs(a.cast("double") - b.cast("double")))
+    status = F.when(F.col("__copy").isNull(), "missing").when(F.size("values") != F.size("__copy"), "shape").when(F.col("values") == F.col("__copy"), "equal").otherwise("differs")
+    return both.select("name", status.alias("status"), F.when(status.isin("equal", "differs"), F.array_max(apart)).alias("diff"))
+
+
 def console_lines(segments: DataFrame) -> DataFrame:
     """One printable line a segment, or that there was none."""
     line = F.format_string("[%.2f --> %.2f] (%s, %.2f, %.2f) %s", F.col("start"), F.col("end"), "language", F.col("avg_logprob"), F.col("no_speech_prob"), "text")

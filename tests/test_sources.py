@@ -133,6 +133,21 @@ def test_filters(spark):
     assert odd == "it's - \"so\" \"ok\""
 
 
+def test_strict_languages(spark):
+    df = spark.createDataFrame([("de_x",), ("yue_hant_hk",), ("_x",)], "f string")
+    code = curate.checkpoint_language(F.col("f"), strict=True)
+    assert [r.c for r in df.where("f <> '_x'").select(code.alias("c")).collect()] == ["de", "zh"]
+    with pytest.raises(Exception, match="no language code in _x"):
+        df.select(code.alias("c")).collect()
+
+
+def test_tensor_differences(spark):
+    own = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0]), ("c", [3.0]), ("d", [1.0])], "name string, values array<float>")
+    copy = spark.createDataFrame([("a", [1.0, 2.5]), ("b", [1.0]), ("d", [1.0, 1.0]), ("e", [1.0])], "name string, values array<float>")
+    got = {tuple(r) for r in readers.tensor_differences(own, copy).collect()}
+    assert got == {("a", "differs", 0.5), ("b", "equal", 0.0), ("c", "missing", None), ("d", "shape", None)}
+
+
 def test_advancing_stream(spark, sf_dir, tmp_path):
     stream = windows.stream_of(spark, f"{sf_dir}/events.parquet").select("user_id", "event_id", (F.col("event_id") * 1.0).alias("seconds"), "value")
     kept = []
