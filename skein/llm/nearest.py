@@ -13,14 +13,16 @@ vectors cuts space into blocks of about BLOCK vectors; every vector is in one,
 with a tree of its own there, and a block keeps its bounding box. A query first
 searches its home block; the k-th distance found there then shuts out all blocks
 whose boxes are too far by the same test, and stops the search early in the
-others. Queries of a block come in blocks too; only k rows a query and block are
-merged.
+others. Boxes nest as the cuts do, so a query finds its blocks down the tree, without
+a look at all of them. Queries of a block come in blocks too; only k rows a query
+and block are merged.
+
+The driver and the closures hold two boxes and SAMPLE_OF_BLOCK projected points for
+each BLOCK vectors: a few bytes for each thousand of the vectors' own.
 """
 
 from __future__ import annotations
 
-
-
 import math
 
 import numpy as np
@@ -35,8 +37,8 @@ K, EVERY = 20, 20
 PROJECTED, CONFIDENCE, LEAF = 8, 0.97, 64
 #: Vectors in a block of candidates and of queries.
 BLOCK, QUERIES_BLOCK = 32_768, 2_048
-#: Projected vectors that the cuts between blocks are fitted on, at most.
-SAMPLE = 20_000
+#: Projected vectors that the cuts between blocks are fitted on: in all, or for each block where that is more.
+SAMPLE, SAMPLE_OF_BLOCK = 20_000, 16
 SEED = 99
 
 
@@ -132,6 +134,47 @@ def placed(points: np.ndarray, axis: np.ndarray, at: np.ndarray) -> np.ndarray:
     return node - len(axis)
 
 
+class Boxes:
+    """Bounding boxes of the blocks (leaves) of cuts and of all nodes above them;
+    node 1 is the root, children of node k are 2 k and 2 k + 1."""
+
+    def __init__(self, levels: int, blocks: np.ndarray, low: np.ndarray, high: np.ndarray, parts: np.ndarray):
+        n = 1 << levels
+        self.low, self.high = np.full((2 * n, PROJECTED), np.inf), np.full((2 * n, PROJECTED), -np.inf)
+        self.low[n + blocks], self.high[n + blocks] = low, high
+        for k in range(levels - 1, -1, -1):
+            own, left = slice(1 << k, 2 << k), slice(2 << k, 4 << k)
+            self.low[own] = self.low[left].reshape(-1, 2, PROJECTED).min(axis=1)
+            self.high[own] = self.high[left].reshape(-1, 2, PROJECTED).max(axis=1)
+        self.parts = np.ones(n, np.int64)
+        self.parts[blocks] = parts
+        self.leaves = n
+
+    def distances(self, nodes: np.ndarray, q: np.ndarray) -> np.ndarray:
+        """Squared distances of a point to boxes; infinite to empty ones."""
+        gap = np.maximum(np.maximum(self.low[nodes] - q, q - self.high[nodes]), 0)
+        return np.einsum("ij,ij->i", gap, gap)
+
+    def within(self, q: np.ndarray, limit: float, closed: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """(blocks, distances) of the boxes nearer than limit (closed: or as near)."""
+        nodes = np.ones(1, np.int64)
+        while True:
+            near = self.distances(nodes, q)
+            some = (near <= limit) & np.isfinite(near) if closed else near < limit
+            nodes, near = nodes[some], near[some]
+            if not len(nodes) or nodes[0] >= self.leaves:
+                return nodes - self.leaves, near
+            nodes = np.concatenate([2 * nodes, 2 * nodes + 1])
+
+    def nearest(self, q: np.ndarray) -> int:
+        """The block whose box is nearest, the first among equals."""
+        node = 1
+        while node < self.leaves:
+            node = 2 * node + int(np.argmin(self.distances(np.array([2 * node, 2 * node + 1]), q)))
+        blocks, near = self.within(q, float(self.distances(np.array([node]), q)[0]), closed=True)
+        return int(blocks[np.lexsort((blocks, near))[0]])
+
+
 def query_point(q: np.ndarray) -> np.ndarray:
     """Projections of queries: their lift is 0."""
     return np.hstack([q, np.zeros((len(q), 1))]) @ projection(q.shape[1] + 1)
@@ -211,7 +254,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "v
     need = chi_square_quantile(CONFIDENCE, PROJECTED)
 
     # cuts between blocks, from a sample
-    part = {r.d: int(min(1.0, SAMPLE / len(sizes) / r.n) * (1 << 30)) for r in sizes if levels[r.d]}
+    part = {r.d: int(min(1.0, max(SAMPLE / len(sizes), SAMPLE_OF_BLOCK << levels[r.d]) / r.n) * (1 << 30)) for r in sizes if levels[r.d]}
     trees = {d: (np.zeros(1, np.int64), np.zeros(1)) for d in longest}
     if part:
         drawn = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)) < F.create_map(*[F.lit(x) for kv in part.items() for x in kv])[F.col("d")]
@@ -243,7 +286,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "v
     edges = [f(F.get("p", F.lit(k))).alias(f"{n}{k}") for n, f in (("lo", F.min), ("hi", F.max)) for k in range(PROJECTED)]
     boxes = own.groupBy("d", "b").agg(F.count("*").alias("n"), *edges).toPandas()
     boxes["parts"] = np.ceil(boxes["n"] / (2 * BLOCK)).astype(int)
-    known = {d: (g["b"].to_numpy(), g["parts"].to_numpy(), g[[f"lo{k}" for k in range(PROJECTED)]].to_numpy(), g[[f"hi{k}" for k in range(PROJECTED)]].to_numpy()) for d, g in boxes.groupby("d")}
+    edge = lambda g, n: g[[f"{n}{k}" for k in range(PROJECTED)]].to_numpy()
+    known = {d: Boxes(levels[d], g["b"].to_numpy(), edge(g, "lo"), edge(g, "hi"), g["parts"].to_numpy()) for d, g in boxes.groupby("d")}
     parts = spark.createDataFrame(boxes[["d", "b", "parts"]].astype("int64"))
     rows = own.join(parts, ["d", "b"]).withColumn("s", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts"))).select(F.col("d").cast("long"), "b", "s", "id", "v")
 
@@ -253,16 +297,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "v
             kth, out = batch.column("kth").to_pylist(), []
             for d, at, p in _vectors(batch.set_column(batch.schema.get_field_index("d"), "d", pa.array([PROJECTED] * batch.num_rows, pa.int32())), "p"):
                 for k, q in zip(at.tolist(), p):
-                    blocks, split, lo, hi = known[batch.column("d")[k].as_py()]
-                    gap = np.maximum(np.maximum(lo - q, q - hi), 0)
-                    near = np.einsum("ij,ij->i", gap, gap)
-                    home = int(np.argmin(near))
-                    own_part = batch.column("id")[k].as_py() % int(split[home])
+                    own_boxes = known[batch.column("d")[k].as_py()]
+                    home = own_boxes.nearest(q)
+                    own_part = batch.column("id")[k].as_py() % int(own_boxes.parts[home])
                     if kth[k] is None:
-                        out.append((k, int(blocks[home]), own_part, None))
+                        out.append((k, home, own_part, None))
                         continue
-                    for j in np.flatnonzero(near < need * max(kth[k], 1e-12)).tolist():
-                        out += [(k, int(blocks[j]), s, kth[k]) for s in range(int(split[j])) if (j, s) != (home, own_part)]
+                    for j in own_boxes.within(q, need * max(kth[k], 1e-12))[0].tolist():
+                        out += [(k, j, s, kth[k]) for s in range(int(own_boxes.parts[j])) if (j, s) != (home, own_part)]
             take = pa.array([o[0] for o in out], pa.int64())
             columns = [batch.column("d").cast(pa.int64()).take(take), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64()), batch.column("id").take(take), batch.column("v").take(take), pa.array([o[3] for o in out], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=["d", "b", "s", "id", "v", "kth"])

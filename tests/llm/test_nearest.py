@@ -64,3 +64,20 @@ def test_chi_square():
     x = np.random.default_rng(0).chisquare(8, 200_000)
     for p in (0.5, 0.9, 0.97):
         assert abs((x < nn.chi_square_quantile(p, 8)).mean() - p) < 0.01
+
+
+def test_boxes_down_the_tree():
+    rng = np.random.default_rng(6)
+    blocks = np.array([0, 1, 3, 4, 6, 7])
+    centre = rng.normal(size=(6, nn.PROJECTED)) * 3
+    low, high = centre - rng.random((6, nn.PROJECTED)), centre + rng.random((6, nn.PROJECTED))
+    boxes = nn.Boxes(3, blocks, low, high, np.arange(1, 7))
+    for q in rng.normal(size=(200, nn.PROJECTED)) * 3:
+        gap = np.maximum(np.maximum(low - q, q - high), 0)
+        near = (gap**2).sum(axis=1)
+        assert boxes.nearest(q) == blocks[near.argmin()]
+        for limit in (0.0, 5.0, 60.0, np.inf):
+            assert sorted(boxes.within(q, limit)[0].tolist()) == blocks[near < limit].tolist()
+    assert boxes.parts.tolist() == [1, 2, 1, 3, 4, 1, 5, 6]
+    one = nn.Boxes(0, np.array([0]), low[:1], high[:1], np.array([2]))
+    assert one.nearest(q) == 0 and one.within(q, np.inf)[0].tolist() == [0]
