@@ -257,19 +257,25 @@ def encode_texts(vocabulary: Vocabulary, texts: list, keys: np.ndarray) -> tuple
     doc = np.repeat(np.arange(len(texts)), n)
     at = np.arange(len(flat)) - (np.cumsum(n) - n)[doc]
     key = util.mix(keys.astype(U64)[doc] + util.mix(at.astype(U64)))
-    long = np.fromiter((len(s) > LONG for s in names), bool, len(names))
-    is_long = long[codes]
-    count = np.zeros(len(flat), np.int64)
-    parts = []
-    for logs in (False, True):
-        own = np.flatnonzero(is_long == logs)
-        if len(own):
-            lattice = Lattice(vocabulary, [s if x == logs else "" for s, x in zip(names, long)], logs)
-            token, count[own] = lattice.sample(codes[own], key[own])
-            parts.append((logs, token))
-    every = np.empty(int(count.sum()), np.int64)
-    for logs, token in parts:
-        every[np.repeat(is_long == logs, count)] = token
+    size = np.fromiter(map(len, names), np.int64, len(names))
+    far = np.flatnonzero(size > LONG)
+    if not len(far):
+        every, count = Lattice(vocabulary, names).sample(codes, key)
+    else:
+        # long segments are few: a lattice of their own, and their tokens put in place
+        number = np.full(len(names), -1, np.int64)
+        number[far] = np.arange(len(far))
+        is_long = size[codes] > LONG
+        count = np.zeros(len(flat), np.int64)
+        short, few = np.flatnonzero(~is_long), np.flatnonzero(is_long)
+        token, count[short] = Lattice(vocabulary, ["" if n > LONG else x for x, n in zip(names, size.tolist())]).sample(codes[short], key[short])
+        extra, count[few] = Lattice(vocabulary, [names[k] for k in far.tolist()], logs=True).sample(number[codes[few]], key[few])
+        every = np.empty(int(count.sum()), np.int64)
+        begin = (np.cumsum(count) - count)[few]
+        at_long = np.repeat(begin - (np.cumsum(count[few]) - count[few]), count[few]) + np.arange(len(extra))
+        rest = np.ones(len(every), bool)
+        rest[at_long] = False
+        every[rest], every[at_long] = token, extra
     ids, spelled = vocabulary.expand(every)
     of = np.repeat(doc, count)
     return ids, np.bincount(of, spelled, len(texts)).astype(np.int64)
