@@ -87,7 +87,8 @@ def inverse_cdf(spark, sf_dir):
     """The place where a draw falls in each vector's running sum."""
     e = s.table(spark, sf_dir, "embeddings")
     rows = e.select("vec_id", F.posexplode(F.transform("embedding", lambda x: F.round(F.abs(x.cast("double")) * 1000))).alias("pos", "x"))
-    rows = rows.withColumn("p", F.col("x") / F.sum("x").over(Window.partitionBy("vec_id"))).withColumn("draw", (F.col("vec_id") % 10) / F.lit(10.0))
+    total = F.sum("x").over(Window.partitionBy("vec_id"))
+    rows = rows.withColumn("p", F.when(total == 0, float("nan")).otherwise(F.col("x") / total)).withColumn("draw", (F.col("vec_id") % 10) / F.lit(10.0))
     return order.inverse_cdf(rows, "vec_id", "draw").select("vec_id", F.col("pick").cast("long").alias("pick"))
 
 

@@ -6,6 +6,7 @@ import subprocess
 import sys
 
 import duckdb
+import numpy as np
 import pytest
 
 from skein.plans import catalog
@@ -44,6 +45,32 @@ def test_against_sql(spark, sf_dir, name):
     compared(spark, sf_dir, catalog.QUERIES[name], catalog.SQL[name])
 
 
+def vectors(folder, rows):
+    db = duckdb.connect()
+    db.execute("CREATE TABLE t (vec_id BIGINT, embedding FLOAT[], label INT)")
+    db.executemany("INSERT INTO t VALUES (?, ?, 0)", rows)
+    db.execute(f"COPY t TO '{folder}/embeddings.parquet'")
+    return str(folder)
+
+
+def test_inverse_cdf_where_draws_equal_sums(spark, tmp_path):
+    """Each vector's sum up to some place is exactly the draw's share of the whole."""
+    rng, rows = np.random.default_rng(5), []
+    for k in range(2000):
+        tenths, n = int(rng.integers(1, 10)), int(rng.integers(33, 60))
+        before = rng.integers(1, 300, n)
+        before[0] += -before.sum() % tenths
+        after = rng.multinomial(before.sum() * (10 - tenths) // tenths, np.full(64 - n, 1 / (64 - n)))
+        rows.append((10 * k + tenths, (np.concatenate([before, after]) / 1000).tolist()))
+    compared(spark, vectors(tmp_path, rows), catalog.QUERIES["inverse_cdf"], catalog.SQL["inverse_cdf"])
+
+
+def test_inverse_cdf_of_odd_vectors(spark, tmp_path):
+    """Zeros, nulls, nothing, numbers that are not finite, ids that are null, negative or repeated."""
+    rows = [(1, [0.0] * 64), (3, None), (4, []), (-7, [0.5, 0.25]), (None, [0.1, 0.2]), (5, [None] * 4), (6, [0.5, None, 0.25]), (-9, [None, 0.5]), (9, [math.nan, 0.5]), (8, [math.inf, 0.5]), (19, [0.1, 0.2]), (19, [0.2, 0.2, 0.4])]
+    compared(spark, vectors(tmp_path, rows), catalog.QUERIES["inverse_cdf"], catalog.SQL["inverse_cdf"])
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.SQL)))
 def test_runs(spark, sf_dir, name):
     assert catalog.QUERIES[name](spark, sf_dir).count() > 0
